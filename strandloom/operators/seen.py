@@ -1,0 +1,149 @@
+"""Problem 5: has this key been seen before? Ribbon filters over sealed batches, probed generation by generation.
+
+Keys are 64-bit hashes of (field, value), split by hash into shards of bounded size. Batches are sealed in order; each
+sealed batch leaves one ribbon filter a shard (about 14 bits a key), and the keys of a later batch are probed against the
+filters of the earlier ones, so no earlier key is kept in memory. A filter never misses a key it holds; its wrong answers
+are counted with keys that are certainly absent, and an exact check of the few candidates removes them from the result.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions.ribbon import Ribbon
+from strandloom.operators.skew import HOT_SHARE
+from strandloom.session import written
+
+#: Keys of one shard over all generations, about: what one task holds.
+SHARD_KEYS = 150_000
+#: Fingerprint bits: wrong answers of one filter at a rate of about 2^-12.
+BITS = 12
+#: Certainly absent keys probed per filter by the audit.
+AUDIT_KEYS = 4_000
+
+FIELDS = ("id", "source_event_id")
+
+
+def key_hash(field: str, value: Column) -> Column:
+    return F.xxhash64(F.lit(field), value)
+
+
+def key_rows(seen: DataFrame, observations: DataFrame, batches: int) -> DataFrame:
+    """key_field, value, h, seq, gen of every non-null key: gen 0 and seq -1 for seen, then 1..batches by insert_seq."""
+    lo, hi = observations.agg(F.min("insert_seq"), F.max("insert_seq")).first()
+    lo, span = (lo or 0), max(1, (hi or 0) - (lo or 0) + 1)
+    gen = F.least(F.floor((F.col("insert_seq") - lo) * batches / F.lit(span)).cast("int"), F.lit(batches - 1)) + 1
+    old = seen.select(*FIELDS, F.lit(-1).cast("bigint").alias("seq"), F.lit(0).alias("gen"))
+    new = observations.where(F.col("insert_seq").isNotNull()).select(*FIELDS, F.col("insert_seq").cast("bigint").alias("seq"), gen.alias("gen"))
+    both = old.unionByName(new)
+    pair = F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(f).alias("value")) for f in FIELDS])).alias("k")
+    flat = both.select("seq", "gen", pair).select("k.key_field", "k.value", "seq", "gen").where(F.col("value").isNotNull())
+    return flat.withColumn("h", F.xxhash64("key_field", "value"))
+
+
+def distinct_keys(rows: DataFrame, shards: int) -> DataFrame:
+    """key_field, shard, gen, h, n: pre-aggregated before the shuffle, so a key with a third of all rows costs one row a task."""
+    shard = F.pmod(F.shiftrightunsigned(F.col("h"), 20), F.lit(shards)).cast("int")
+    return rows.groupBy("key_field", "gen", "h").agg(F.count("*").alias("n")).withColumn("shard", shard)
+
+
+def _filters_of(gen: np.ndarray, h: np.ndarray):
+    """Generations in order, each with its rows and the filters sealed before it."""
+    sealed: list[tuple[int, Ribbon]] = []
+    for g in np.unique(gen):
+        rows = np.flatnonzero(gen == g)
+        yield int(g), rows, sealed
+        sealed.append((int(g), Ribbon.build(h[rows], BITS)))
+
+
+def probe_generations(keys: DataFrame) -> DataFrame:
+    """h, n of the keys that occur twice in a batch or that a filter of an earlier batch knows: never misses a repeat."""
+
+    def probe(pdf: pd.DataFrame) -> pd.DataFrame:
+        gen, h = pdf["gen"].to_numpy(), pdf["h"].to_numpy()
+        keep = pdf["n"].to_numpy() > 1
+        for _, rows, sealed in _filters_of(gen, h):
+            for _, ribbon in sealed:
+                keep[rows] |= ribbon.contains(h[rows])
+        return pd.DataFrame({"h": h[keep], "n": pdf["n"].to_numpy()[keep]})
+
+    return keys.groupBy("key_field", "shard").applyInPandas(probe, "h bigint, n bigint")
+
+
+def sealed_filters(keys: DataFrame) -> DataFrame:
+    """key_field, shard, gen, keys, bits_per_key, audit_keys, wrong_answers, filter: the filters as a table to keep.
+
+    The audit draws seeded keys, leaves out those the shard holds, and counts the rest that the filter claims to know.
+    """
+
+    def seal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        field, shard = key
+        gen, h = pdf["gen"].to_numpy(), pdf["h"].to_numpy()
+        draw = np.random.default_rng([len(str(field)), int(shard)]).integers(-(2**63), 2**63 - 1, AUDIT_KEYS, dtype=np.int64)
+        absent = draw[~np.isin(draw, h)]
+        rows = []
+        for g in np.unique(gen):
+            ribbon = Ribbon.build(h[gen == g], BITS)
+            wrong = int(ribbon.contains(absent).sum())
+            rows.append((field, int(shard), int(g), ribbon.keys, ribbon.bits_per_key, len(absent), wrong, ribbon.pack()))
+        return pd.DataFrame(rows, columns=["key_field", "shard", "gen", "keys", "bits_per_key", "audit_keys", "wrong_answers", "filter"])
+
+    schema = "key_field string, shard int, gen int, keys bigint, bits_per_key double, audit_keys bigint, wrong_answers bigint, filter binary"
+    return keys.groupBy("key_field", "shard").applyInPandas(seal, schema)
+
+
+def probe_filters(keys: DataFrame, filters: DataFrame) -> DataFrame:
+    """key_field, h, known of a new batch's keys against kept filters of the same shard count."""
+
+    def probe(_key: tuple, pdf: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        h = pdf["h"].to_numpy()
+        known = np.zeros(len(h), bool)
+        for data in kept["filter"]:
+            known |= Ribbon.unpack(data).contains(h)
+        return pd.DataFrame({"key_field": pdf["key_field"], "h": h, "known": known})
+
+    schema = "key_field string, h bigint, known boolean"
+    return keys.groupBy("key_field", "shard").cogroup(filters.groupBy("key_field", "shard")).applyInPandas(probe, schema)
+
+
+def repeats(seen: DataFrame, observations: DataFrame, batches: int = 4) -> DataFrame:
+    """insert_seq, key_field of every observation whose key occurs in seen or in an earlier observation.
+
+    Nulls are never repeats; empty strings are ordinary values; empty tables give no rows. Values are compared exactly: the
+    rows of the filters' candidates are grouped by value. Hot keys (fewer than 1000 can be) are settled by a broadcast of
+    their first occurrence, so no task holds all rows of one key.
+    """
+    total = 2 * (seen.count() + observations.count())
+    rows = key_rows(seen, observations, batches)
+    keys = distinct_keys(rows, max(1, -(-total // SHARD_KEYS) // len(FIELDS)))
+    per_batch = written(probe_generations(keys), "seen-candidates")
+    candidates = per_batch.groupBy("h").agg(F.sum("n").alias("n"))
+    limit = max(1, total // HOT_SHARE)
+    hot_keys = [r["h"] for r in candidates.where(F.col("n") > limit).select("h").limit(HOT_SHARE + 1).collect()]
+    mild = rows.join(candidates.select("h"), "h")
+    if hot_keys:
+        mild = rows.where(~F.col("h").isin(hot_keys)).join(candidates.select("h"), "h")
+    first = F.min("seq").over(Window.partitionBy("h", "key_field", "value"))
+    out = mild.withColumn("first", first).where(F.col("seq") > F.col("first"))
+    if hot_keys:
+        hot = rows.where(F.col("h").isin(hot_keys))
+        firsts = hot.groupBy("h", "key_field", "value").agg(F.min("seq").alias("first"))
+        out = out.unionByName(hot.join(F.broadcast(firsts), ["h", "key_field", "value"]).where(F.col("seq") > F.col("first")), allowMissingColumns=True)
+    return out.select(F.col("seq").alias("insert_seq"), "key_field")
+
+
+def error_rates(seen: DataFrame, observations: DataFrame, batches: int = 4) -> DataFrame:
+    """key_field, gen, keys, bits_per_key, audit_keys, wrong_answers, wrong_rate of the filters."""
+    total = 2 * (seen.count() + observations.count())
+    keys = distinct_keys(key_rows(seen, observations, batches), max(1, -(-total // SHARD_KEYS) // len(FIELDS)))
+    f = sealed_filters(keys).drop("filter")
+    return f.groupBy("key_field", "gen").agg(
+        F.sum("keys").alias("keys"),
+        (F.sum(F.col("bits_per_key") * F.col("keys")) / F.sum("keys")).alias("bits_per_key"),
+        F.sum("audit_keys").alias("audit_keys"),
+        F.sum("wrong_answers").alias("wrong_answers"),
+        (F.sum("wrong_answers") / F.sum("audit_keys")).alias("wrong_rate"),
+    )

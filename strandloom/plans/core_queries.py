@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.operators import times
+from strandloom.operators import redelivery, seen, times
 from strandloom.session import table
 
 
@@ -10,5 +10,33 @@ def p1_found(spark, d):
     return times.found_times(table(spark, d, "raw_events"), table(spark, d, "observations"), table(spark, d, "source_systems"))
 
 
+def p5_found(spark, d):
+    return seen.repeats(table(spark, d, "seen_keys"), table(spark, d, "observations"))
+
+
+def p5_error_rates(spark, d):
+    return seen.error_rates(table(spark, d, "seen_keys"), table(spark, d, "observations"))
+
+
+def p7_found(spark, d):
+    return redelivery.redelivered(table(spark, d, "raw_events"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
-ORACLES: dict[str, str] = {}
+
+ORACLES = {
+    "p5_found": """
+        WITH k AS (
+            SELECT insert_seq, 'id' AS key_field, id AS v FROM observations
+            UNION ALL SELECT insert_seq, 'source_event_id', source_event_id FROM observations),
+        s AS (SELECT 'id' AS key_field, id AS v FROM seen_keys UNION SELECT 'source_event_id', source_event_id FROM seen_keys),
+        f AS (SELECT key_field, v, min(insert_seq) AS first FROM k WHERE v IS NOT NULL GROUP BY ALL)
+        SELECT k.insert_seq, k.key_field FROM k JOIN f USING (key_field, v) LEFT JOIN s USING (key_field, v)
+        WHERE k.insert_seq > f.first OR s.v IS NOT NULL""",
+    "p7_found": """
+        WITH r AS (SELECT arrival, try_cast(raw AS JSON) AS j FROM raw_events),
+        e AS (SELECT arrival, json_extract_string(j, '$.eventId') AS id FROM r
+              WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.eventId') = 'VARCHAR' AND json_extract_string(j, '$.eventId') <> ''),
+        m AS (SELECT id, min(arrival) AS kept_arrival FROM e GROUP BY id)
+        SELECT m.kept_arrival, e.arrival AS copy_arrival FROM e JOIN m USING (id) WHERE e.arrival > m.kept_arrival""",
+}
