@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.operators import redelivery, seen, times
+from strandloom.operators import nested, redelivery, seen, times
 from strandloom.session import table
 
 
@@ -10,6 +10,10 @@ def p1_found(spark, d):
     return times.found_times(table(spark, d, "raw_events"), table(spark, d, "observations"), table(spark, d, "source_systems"))
 
 
+def p2_found(spark, d):
+    return nested.elements(table(spark, d, "raw_events"))
+
+
 def p5_found(spark, d):
     return seen.repeats(table(spark, d, "seen_keys"), table(spark, d, "observations"))
 
