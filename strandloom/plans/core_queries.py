@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.operators import drift, nested, redelivery, seen, times
+from strandloom.operators import drift, features, late, nested, redelivery, seen, times
 from strandloom.session import table
 
 
@@ -14,6 +14,14 @@ def p2_found(spark, d):
     return nested.elements(table(spark, d, "raw_events"))
 
 
+def p3_features(spark, d):
+    return features.wide_features(table(spark, d, "observations"), table(spark, d, "kind_registry"))
+
+
+def p3_features_long(spark, d):
+    return features.long_features(table(spark, d, "observations"), table(spark, d, "kind_registry"))
+
+
 def p4_found(spark, d):
     return drift.changes(table(spark, d, "raw_events"))
 
@@ -44,13 +52,49 @@ def p5_error_rates(spark, d):
     return seen.error_rates(table(spark, d, "seen_keys"), table(spark, d, "observations"))
 
 
+def p6_found(spark, d):
+    return late.late_rows(table(spark, d, "observations"))
+
+
+def p6_hours(spark, d):
+    return late.corrected_hours(table(spark, d, "observations"))
+
+
 def p7_found(spark, d):
     return redelivery.redelivered(table(spark, d, "raw_events"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
 
+_MS = """CASE WHEN observed_at < 100000000000 THEN observed_at * 1000 WHEN observed_at < 100000000000000 THEN observed_at
+    WHEN observed_at < 100000000000000000 THEN (observed_at + 500) // 1000 ELSE (observed_at::HUGEINT + 500000) // 1000000 END"""
+
+_LONG = f"""
+    WITH o AS (SELECT id, obs_type, {_MS} AS ms, actors, attributes, insert_seq, measure_field,
+                      row_number() OVER (PARTITION BY id ORDER BY insert_seq) AS rn
+               FROM observations JOIN kind_registry USING (obs_type)),
+    m AS (SELECT obs_type, ms, actors, CASE WHEN measure_field IS NOT NULL
+              THEN try_cast(json_extract_string(attributes, '$.' || measure_field) AS DOUBLE) END AS measure
+          FROM o WHERE rn = 1),
+    a AS (SELECT DISTINCT * FROM (SELECT row_number() OVER () AS r, * FROM m) t, unnest(actors) AS u(actor)),
+    d AS (SELECT DISTINCT r, obs_type, ms, measure, actor.ref_type AS ref_type, actor.ref_id AS ref_id FROM a
+          WHERE actor.ref_type IS NOT NULL AND actor.ref_id IS NOT NULL),
+    long AS (SELECT ref_type, ref_id, obs_type, count(*) AS n, CAST(max(ms) AS BIGINT) AS latest, sum(measure) AS total FROM d GROUP BY ALL)
+"""
+
 ORACLES = {
+    "p3_features_long": _LONG + "SELECT * FROM long",
+    "p6_found": f"""
+        WITH o AS (SELECT insert_seq, ingested_at, CAST({_MS} AS BIGINT) AS ms FROM observations),
+        e AS (SELECT insert_seq, ingested_at, (ms // 3600000 + 1) * 3600000 AS over FROM o WHERE ms IS NOT NULL)
+        SELECT insert_seq, CASE WHEN ingested_at <= over + 172800000 THEN 'correction' ELSE 'too_late' END AS verdict
+        FROM e WHERE ingested_at >= over""",
+    "p6_hours": f"""
+        WITH o AS (SELECT ingested_at, CAST({_MS} AS BIGINT) AS ms FROM observations WHERE observed_at IS NOT NULL AND ingested_at IS NOT NULL),
+        h AS (SELECT ms // 3600000 * 3600000 AS hour_start, ingested_at FROM o)
+        SELECT hour_start, count(*) FILTER (ingested_at < hour_start + 3600000) AS on_time,
+               count(*) FILTER (ingested_at >= hour_start + 3600000) AS corrections, count(*) AS total
+        FROM h WHERE ingested_at <= hour_start + 176400000 GROUP BY hour_start""",
     "p5_found": """
         WITH k AS (
             SELECT insert_seq, 'id' AS key_field, id AS v FROM observations
