@@ -50,16 +50,15 @@ def strict_object(text: Column) -> Column:
 
 def kind_of(value: Column) -> Column:
     """string, number, boolean, object, array or null of a VARIANT; NULL for an absent one."""
-    s = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(s == "STRING", "string")
-        .when(s.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+    name = lambda s: (
+        F.when(s == "STRING", "string")
+        .when(s.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
         .when(s == "BOOLEAN", "boolean")
         .when(s == "VOID", "null")
         .when(s.startswith("OBJECT"), "object")
         .when(s.startswith("ARRAY"), "array")
     )
+    return F.transform(F.array(F.schema_of_variant(value)), name)[0]  # the schema is made once
 
 
 def string_field(doc: Column, path: str) -> Column:

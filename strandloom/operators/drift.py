@@ -32,13 +32,11 @@ def _node(path: Column, is_field: Column, value: Column, embedded: Column) -> Co
     """path, type (of a field), m, a."""
 
     def build(v: Column) -> Column:
-        m = F.try_variant_get(v, "$", "map<string,variant>")
-        a = F.when(m.isNull(), F.try_variant_get(v, "$", "array<variant>"))
-        return let(F.struct(m.alias("m"), a.alias("a")), lambda c: typed(v, c))
+        return let(F.try_variant_get(v, "$", "map<string,variant>"), lambda m: let(F.when(m.isNull(), F.try_variant_get(v, "$", "array<variant>")), lambda a: node(v, m, a)))
 
-    def typed(v: Column, c: Column) -> Column:
-        kind = F.when(c["m"].isNotNull(), "object").when(c["a"].isNotNull(), "array").otherwise(J.kind_of(v))
-        return F.struct(path.alias("path"), F.when(is_field, kind).alias("type"), c["m"].alias("m"), c["a"].alias("a"))
+    def node(v: Column, m: Column, a: Column) -> Column:
+        kind = F.when(m.isNotNull(), "object").when(a.isNotNull(), "array").otherwise(J.kind_of(v))
+        return F.struct(path.alias("path"), F.when(is_field, kind).alias("type"), m.alias("m"), a.alias("a"))
 
     return let(opened(value, embedded), build)
 

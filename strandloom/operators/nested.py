@@ -39,7 +39,9 @@ def _node(path: Column, parent: Column, is_element: Column, value: Column, embed
     """path, parent, own (what its children's nearest element is), m (its fields), a (its items), emit, json."""
 
     def build(v: Column) -> Column:
-        m = F.try_variant_get(v, "$", "map<string,variant>")
+        return let(F.try_variant_get(v, "$", "map<string,variant>"), lambda m: node(v, m))
+
+    def node(v: Column, m: Column) -> Column:
         emit = is_element & m.isNotNull()
         return F.struct(
             path.alias("path"), parent.alias("parent"), F.when(emit, path).otherwise(parent).alias("own"), m.alias("m"),
