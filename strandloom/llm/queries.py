@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import encoding
+from strandloom.llm import encoding, mixing, reading
 from strandloom.session import table
 
 
@@ -20,5 +20,31 @@ def p8_round_trip(spark, d):
     return both.agg(F.count("*").alias("n_documents"), F.count_if(F.coalesce("text", F.lit("")) != F.col("back")).alias("n_different"))
 
 
+def p9_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_shares_one_pass(spark, d):
+    """The same for mixes as large as their sources: small sources are clamped at their caps."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="pass")[1]
+
+
+def p10_found(spark, d):
+    return reading.demanding(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_levels(spark, d):
+    docs = table(spark, d, "documents")
+    return reading.levels(docs, reading.fit(docs, table(spark, d, "reading_labels")))
+
+
+def p10_held_out(spark, d):
+    return reading.held_out(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
 ORACLES = {"p8_round_trip": "SELECT count(*) AS n_documents, 0 AS n_different FROM documents"}
