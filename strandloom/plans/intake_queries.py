@@ -464,7 +464,7 @@ ORACLES = {
     "redelivery_winners": _BASE + "SELECT arrival, event_id * 10 AS winner, oid AS id FROM r WHERE status = 'duplicate'",
     "observations_canonical": _BASE + "SELECT oid AS id, otype AS type, ms AS at_ms, 1782950400000 AS ingested_at, 'u' || user_id AS actor_id, event_type AS subject_id, attributes, 'events' AS system, CASE WHEN event_id % 2 = 0 THEN '7' END AS source_version, eid AS source_event_id, CASE WHEN event_id % 2 = 0 THEN '7' END AS version_source, seq AS insert_seq FROM a",
     "observation_integrity": _BASE + f"SELECT oid AS id, sha256({_TEXT}) AS integrity FROM a",
-    "integrity_keyed": _BASE + "SELECT count(*) AS n, count(*) AS good, 0 AS good_other, 0 AS good_plain FROM a",
+    "integrity_keyed": _BASE + "SELECT count(*) AS n, count(*) AS good, CAST(0 AS BIGINT) AS good_other, CAST(0 AS BIGINT) AS good_plain FROM a",
     "verify_tampered": _BASE + "SELECT oid AS id, seq % 10 <> 3 AS ok FROM a",
     "stepped_clock": _BASE + ", c AS (SELECT *, coalesce(sum(CASE status WHEN 'accepted' THEN 6 WHEN 'duplicate' THEN 3 ELSE 2 END) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reads FROM r) SELECT oid AS id, CAST(1782950400000 + 3 * reads AS BIGINT) AS ingested_at FROM c WHERE status = 'accepted'",
     "refs_bridge": _BASE + "SELECT oid AS observation_id, 'actor' AS role, 'user' AS ref_type, 'u' || user_id AS ref_id FROM a UNION ALL SELECT oid, 'subject', 'event_type', event_type FROM a",
@@ -483,7 +483,7 @@ ORACLES = {
     "audit_verify_delete": _TRAIL + _CHAIN("false", "CAST(NULL AS BIGINT)", "30", "'bad_sequence'"),
     "audit_verify_reorder": _TRAIL + _CHAIN("false", "CAST(NULL AS BIGINT)", "11", "'bad_sequence'"),
     "audit_verify_forge": _TRAIL + _CHAIN("false", "CAST(NULL AS BIGINT)", "41", "'broken_link'"),
-    "audit_keyed": _TRAIL + "SELECT true AS ok, count(*) AS length, CAST(NULL AS BIGINT) AS broken_at, CAST(NULL AS VARCHAR) AS reason, 'right' AS key FROM t UNION ALL SELECT false, NULL, 0, 'bad_hash', 'none'",
+    "audit_keyed": _TRAIL + "SELECT true AS ok, count(*) AS length, CAST(NULL AS BIGINT) AS broken_at, CAST(NULL AS VARCHAR) AS reason, 'right' AS key FROM t UNION ALL SELECT false, NULL, CAST(0 AS BIGINT), 'bad_hash', 'none'",
     "event_audit": _TRAIL + "SELECT sequence, stage, outcome FROM t WHERE event_id = 'evt-5'",
     "audit_by_stage": _TRAIL + "SELECT sequence, outcome, event_id FROM t WHERE stage = 'dedupe' ORDER BY sequence LIMIT 25",
     "audit_by_observation": _TRAIL + "SELECT sequence, stage FROM t WHERE false",
@@ -501,10 +501,10 @@ ORACLES = {
     "query_limit_zero": _FIND("false"),
     "count_observations": _BASE + "SELECT count(*) AS n FROM a",
     "observation_types": "SELECT unnest(['UserClick', 'UserPurchase', 'UserSignup', 'UserView']) AS type",
-    "stored_twice": _BASE + "SELECT count(*) FILTER (status <> 'rejected') AS duplicates, 0 AS accepted, true AS ok, CAST(sum(CASE status WHEN 'accepted' THEN 5 ELSE 2 END) + 2 * count(*) AS BIGINT) AS records, count(*) FILTER (status = 'accepted') AS stored, 0 AS repeated FROM r",
+    "stored_twice": _BASE + "SELECT count(*) FILTER (status <> 'rejected') AS duplicates, CAST(0 AS BIGINT) AS accepted, true AS ok, CAST(sum(CASE status WHEN 'accepted' THEN 5 ELSE 2 END) + 2 * count(*) AS BIGINT) AS records, count(*) FILTER (status = 'accepted') AS stored, CAST(0 AS BIGINT) AS repeated FROM r",
     "duplicate_results": _BASE + "SELECT arrival, oid AS id, eid AS source_event_id FROM r WHERE status = 'duplicate'",
     "archive_replay_from_limit": "SELECT unnest(range(100, 120)) AS sequence",
-    "archive_prune": _BASE + "SELECT count(*) - 150 AS left, 150 AS first, 150 AS gone FROM r",
+    "archive_prune": _BASE + "SELECT count(*) - 150 AS left, CAST(150 AS BIGINT) AS first, CAST(150 AS BIGINT) AS gone FROM r",
     "renormalize_v2": _BASE + "SELECT arrival, 'obs_' || sha256('[\"' || eid || '\",\"' || otype || '\",\"2.0\"]') AS id FROM r WHERE reason IS NULL",
     "renormalize_rejections": _BASE + "SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL",
     "to_evidence": _BASE + "SELECT 'observation:' || otype AS kind, event_type AS subject_id, 'u' || user_id AS actor_id, attributes AS content, 'events' AS source, iso || 'Z' AS at_text, oid AS id FROM a",

@@ -11,7 +11,7 @@ import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.audit import AUDIT
@@ -46,9 +46,14 @@ def _finite(value: object, name: str) -> None:
 
 @dataclass(frozen=True)
 class RefMatch:
+    """A ref of this id and, if given, this type: both on the same ref."""
+
     id: str
     type: str | None = None
 
+    def matches(self, ref: Column) -> Column:
+        return (ref["id"] == self.id) & (F.lit(True) if self.type is None else ref["type"] == self.type)
+
 
 @dataclass(frozen=True)
 class ObservationQuery:
@@ -89,7 +94,7 @@ def select_observations(df: DataFrame, q: ObservationQuery) -> DataFrame:
         df = df.where(F.col("at") < q.to_ms)
     for name, m in (("actors", q.actor), ("subjects", q.subject)):
         if m is not None:
-            df = df.where(F.exists(name, lambda r, m=m: (r["id"] == m.id) & (F.lit(True) if m.type is None else r["type"] == m.type)))
+            df = df.where(F.exists(name, m.matches))
     keys = ["at", "insert_seq"]
     df = df.orderBy(*keys) if q.order == "asc" else df.orderBy(*map(F.desc, keys))
     return df if q.limit is None else df.limit(q.limit)
