@@ -29,7 +29,7 @@ def number_text(x: float) -> str:
     digits, _, exponent = repr(x).partition("e")
     if exponent:
         e = int(exponent)
-        if -7 <= e < 0:
+        if -7 < e < 0:
             sign, digits = ("-", digits[1:]) if digits.startswith("-") else ("", digits)
             return f"{sign}0.{'0' * (-e - 1)}{digits.replace('.', '')}"
         return f"{digits.removesuffix('.0')}e{'+' if e > 0 else '-'}{abs(e)}"
@@ -88,7 +88,8 @@ def exact_all(texts: Column) -> Column:
 def quoted(text: Column) -> Column:
     """A string as JSON text (escapes as ``to_json`` writes them; :func:`exact` settles these); NULL stays NULL."""
     inner = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(inner, F.lit(2), F.length(inner) - 2))
+    escaped = F.substring(inner, F.lit(2), F.length(inner) - 2)
+    return F.when(text.rlike(r'["\\\x00-\x1f\x7f-\x9f\u2028\u2029]'), escaped).when(text.isNotNull(), F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def member(name: str, value: Column) -> Column:
@@ -124,8 +125,8 @@ def refs_json(refs: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(refs, one), ","), F.lit("]"))
 
 
-def observation_text() -> Column:
-    """The hashed content of an observation row as canonical JSON."""
+def observation_json() -> Column:
+    """The hashed content of an observation row as JSON with sorted keys; :func:`exact` makes it canonical."""
     c = F.col
     source = obj(connector=quoted(c("source.connector")), system=quoted(c("source.system")), version=quoted(c("source.version")))
     versions = obj(**{k: quoted(c(f"versions.{k}")) for k in ("envelope", "schema", "normalization", "source")})
@@ -133,7 +134,11 @@ def observation_text() -> Column:
         id=quoted(c("id")), type=quoted(c("type")), at=c("at").cast("string"), ingestedAt=c("ingested_at").cast("string"), actors=refs_json(c("actors")),
         subjects=refs_json(c("subjects")), attributes=c("attributes"), source=source, sourceEventId=quoted(c("source_event_id")), versions=versions,
     )
-    return exact(text)
+    return text
+
+
+def observation_text() -> Column:
+    return exact(observation_json())
 
 
 def integrity(secret: str | bytes | None = None) -> Column:

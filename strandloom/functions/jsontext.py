@@ -61,6 +61,14 @@ def kind_of(value: Column) -> Column:
     return F.transform(F.array(F.schema_of_variant(value)), name)[0]  # the schema is made once
 
 
+def is_string(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
+def is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
 def string_field(doc: Column, path: str) -> Column:
     """The field's text if it is a JSON string; numbers and the like are not turned into text."""
     child = F.try_variant_get(doc, path, "variant")

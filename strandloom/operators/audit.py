@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import canonical as C
 from strandloom.operators.normalize import UNKNOWN_EVENT, Clock
 from strandloom.operators.ordering import with_running_sum
+from strandloom.session import written
 
 GENESIS = "genesis"
 AUDIT = "id string, stage string, outcome string, event_id string, observation_id string, at bigint, detail string, sequence bigint, previous_hash string, hash string"
@@ -63,27 +64,27 @@ def timed(results: DataFrame) -> DataFrame:
     return with_running_sum(results.withColumn("__reads", clock_reads()), "arrival", "__reads", "reads_before").drop("__reads")
 
 
-def record_text(previous: Column) -> Column:
+def record_json(previous: Column) -> Column:
     c, q = F.col, C.quoted
-    return C.exact(
-        C.obj(
-            id=q(c("id")), stage=q(c("stage")), outcome=q(c("outcome")), eventId=q(c("event_id")), at=c("at").cast("string"), sequence=c("sequence").cast("string"),
-            previousHash=q(previous), observationId=q(c("observation_id")), detail=c("detail"),
-        )
+    return C.obj(
+        id=q(c("id")), stage=q(c("stage")), outcome=q(c("outcome")), eventId=q(c("event_id")), at=c("at").cast("string"), sequence=c("sequence").cast("string"),
+        previousHash=q(previous), observationId=q(c("observation_id")), detail=c("detail"),
     )
 
 
-_HOLE = "\u0001previous\u0001"
+def record_text(previous: Column) -> Column:
+    return C.exact(record_json(previous))
+
+
+#: Stands for the hash not known yet. Inside any string of a record its quotes would be escaped, so it is found nowhere else.
+_HOLE = '"previousHash":"@@previous@@"'
 
 
 def chained(records: DataFrame, previous: str = GENESIS, secret: str | bytes | None = None) -> DataFrame:
     """The records with previous_hash and hash. Texts are made in parallel; only the fold over them, which cannot be split,
     runs in one task, streaming over Arrow batches and keeping nothing but the last hash."""
-    hole = F.lit('"\\u0001previous\\u0001"')
-    text = record_text(F.lit(_HOLE))
-    start = F.instr(text, '"previousHash":') + 15
-    head, tail = F.substring(text, F.lit(1), start - 1), F.substring(text, start + F.length(hole), F.length(text))
-    ready = records.withColumn("__text", F.struct(head.alias("h"), tail.alias("t"))).select(*records.columns, "__text.h", "__text.t")
+    texts = records.withColumn("__json", F.explode(F.array(record_json(F.lit("@@previous@@")))))
+    ready = texts.select(*records.columns, C.exact(F.col("__json")).alias("__text"))
     key = secret.encode() if isinstance(secret, str) else secret
     n = len(records.columns)
 
@@ -91,15 +92,16 @@ def chained(records: DataFrame, previous: str = GENESIS, secret: str | bytes | N
         last = previous
         for batch in batches:
             before, hashes = [], []
-            for h, t in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+            for text in batch.column(n).to_pylist():
                 before.append(last)
-                data = f'{h}"{last}"{t}'.encode()
+                data = text.replace(_HOLE, f'"previousHash":"{last}"', 1).encode()
                 last = (hashlib.sha256(data) if key is None else hmac.new(key, data, hashlib.sha256)).hexdigest()
                 hashes.append(last)
             names = [*batch.schema.names[:n], "previous_hash", "hash"]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(before, pa.string()), pa.array(hashes, pa.string())], names)
 
-    return ready.repartition(1).sortWithinPartitions("sequence").mapInArrow(fold, AUDIT)
+    # the texts are written first: the single task of the fold then only reads and hashes
+    return written(ready, "records").repartition(1).sortWithinPartitions("sequence").mapInArrow(fold, AUDIT)
 
 
 def verify_chain(trail: DataFrame, secret: str | bytes | None = None, position: str = "sequence") -> DataFrame:
@@ -112,7 +114,8 @@ def verify_chain(trail: DataFrame, secret: str | bytes | None = None, position:
     placed = with_running_sum(one, position, "__one", "pos").drop("__one")
     before = placed.select((F.col("pos") + 1).alias("pos"), F.col("hash").alias("__before"))
     linked = placed.join(before, "pos", "left").withColumn("__before", F.when(F.col("pos") == 0, GENESIS).otherwise(F.col("__before")))
-    hash_ = C.digest(record_text(F.col("previous_hash")), secret)
+    linked = linked.withColumn("__json", F.explode(F.array(record_json(F.col("previous_hash")))))
+    hash_ = C.digest(C.exact(F.col("__json")), secret)
     wrong = (
         F.when(F.col("sequence") != F.col("pos"), "bad_sequence")
         .when(~F.col("previous_hash").eqNullSafe(F.col("__before")), "broken_link")

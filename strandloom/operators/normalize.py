@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import canonical as C
 from strandloom.functions import jsontext as J
 from strandloom.functions.rfc3339 import parse_ms
+from strandloom.operators.ordering import spread
 from strandloom.operators.payloads import AGENT_SPECS, EXAMPLE_SPECS, PayloadSpec, Registry
 
 NORMALIZATION_VERSION = "1.0"
@@ -62,7 +63,7 @@ def _issue(path: str | Column, message: str, bad: Column) -> Column:
 
 
 def _not_text(v: Column) -> Column:
-    return F.coalesce((J.kind_of(v) != "string") | (F.try_variant_get(v, "$", "string") == ""), F.lit(True))
+    return ~F.coalesce(J.is_string(v) & (F.try_variant_get(v, "$", "string") != ""), F.lit(False))
 
 
 def _get(doc: Column, path: str, kind: str = "variant") -> Column:
@@ -74,13 +75,13 @@ def _ref_issues(doc: Column, name: str) -> Column:
 
     def of(r: Column, i: Column) -> Column:
         at = F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("]"))
-        plain = J.kind_of(r) == "object"
+        plain = J.is_object(r)
         attributes = _get(r, "$.attributes")
         return F.array(
             _issue(at, "must be an object", ~plain),
             _issue(F.concat(at, F.lit(".type")), "must be a non-empty string", plain & _not_text(_get(r, "$.type"))),
             _issue(F.concat(at, F.lit(".id")), "must be a non-empty string", plain & _not_text(_get(r, "$.id"))),
-            _issue(F.concat(at, F.lit(".attributes")), "must be an object", plain & attributes.isNotNull() & (J.kind_of(attributes) != "object")),
+            _issue(F.concat(at, F.lit(".attributes")), "must be an object", plain & attributes.isNotNull() & ~J.is_object(attributes)),
         )
 
     wrong = F.array(_issue(name, "must be an array when present", F.lit(True)))
@@ -91,11 +92,11 @@ def envelope_issues(doc: Column) -> Column:
     """All structural issues of an object, in the order of the envelope's fields."""
     plain = [_issue(f, "must be a non-empty string", _not_text(_get(doc, f"$.{f}"))) for f in ("eventId", "envelopeVersion", "schemaVersion", "kind", "occurredAt")]
     source = _get(doc, "$.source")
-    is_object = J.kind_of(source) == "object"
+    is_object = J.is_object(source)
     own = [_issue("source", "must be an object when present", source.isNotNull() & ~is_object)]
     for key in ("system", "connector", "version"):
         v = _get(doc, f"$.source.{key}")
-        own.append(_issue(f"source.{key}", "must be a string when present", is_object & v.isNotNull() & (J.kind_of(v) != "string")))
+        own.append(_issue(f"source.{key}", "must be a string when present", is_object & v.isNotNull() & ~J.is_string(v)))
     fixed = F.array(*plain, _issue("payload", "is required", _get(doc, "$.payload").isNull()))
     found = F.concat(fixed, _ref_issues(doc, "actors"), _ref_issues(doc, "subjects"), F.array(*own))
     return F.filter(found, lambda x: x.isNotNull())
@@ -122,7 +123,7 @@ def verdicts(deliveries: DataFrame, options: Options) -> DataFrame:
     """
     J.allow_repeated_keys(deliveries.sparkSession)
     registry = Registry(options.specs)
-    docs = deliveries.select("arrival", F.explode(F.array(J.strict_object(F.col("raw")))).alias("doc"))
+    docs = spread(deliveries.select("arrival", "raw")).select("arrival", F.explode(F.array(J.strict_object(F.col("raw")))).alias("doc"))
     doc = F.col("doc")
     no_issues = F.array().cast(ISSUES)
     not_object = F.array(F.struct(F.lit("").alias("path"), F.lit("must be an object").alias("message"))).cast(ISSUES)
@@ -180,7 +181,9 @@ OBSERVATION = ["id", "type", "at", "ingested_at", "actors", "subjects", "attribu
 def observations(valid: DataFrame, ingested_at: Column, secret: str | bytes | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The observation rows of valid verdicts, sealed with their integrity."""
     rows = valid.withColumn("ingested_at", ingested_at.cast("bigint")).withColumn("source_event_id", F.col("event_id"))
-    return rows.withColumn("integrity", C.integrity(secret)).select(*keep, *OBSERVATION)
+    # a row generator holds the text, so that it is built once
+    texts = rows.withColumn("__json", F.explode(F.array(C.observation_json())))
+    return texts.withColumn("integrity", C.digest(C.exact(F.col("__json")), secret)).select(*keep, *OBSERVATION)
 
 
 def renormalize(events: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:

@@ -24,3 +24,9 @@ def with_running_sum(df: DataFrame, order: str, value: str, out: str, rows_per_p
     before = total.withColumn("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
     own = F.coalesce(F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(out, (F.col("__own") + F.col("__b")).cast("bigint")).drop("__part", "__own", "__b")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes in fewer parts, as from one small file; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

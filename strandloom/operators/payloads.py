@@ -27,18 +27,17 @@ class Check:
     def message(self, payload: Column) -> Column:
         """What is wrong with the field, NULL if nothing. An explicit null is present, so it fails all typed checks."""
         v = self._value(payload)
-        kind = J.kind_of(v)
         number = F.try_variant_get(payload, f"$.{self.name}", "double")
-        finite = (kind == "number") & ~F.isnan(number) & (F.abs(number) < float("inf"))
+        finite = F.schema_of_variant(v).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)") & ~F.isnan(number) & (F.abs(number) < float("inf"))
         text = F.try_variant_get(payload, f"$.{self.name}", "string")
         wrong = {
-            "string": F.when((kind != "string") | (text == ""), "must be a non-empty string"),
-            "number": F.when(~finite, "must be a finite number"),
-            "integer": F.when(~finite, "must be a finite number").when(number != F.floor(number), "must be an integer"),
-            "boolean": F.when(kind != "boolean", "must be a boolean"),
-            "enum": F.when((kind != "string") | ~text.isin(*self.values), "must be one of: " + ", ".join(self.values)),
-            "json": F.when((kind == "number") & ~finite, "must be a JSON value"),
-        }[self.kind]
+            "string": lambda: F.when(~J.is_string(v) | (text == ""), "must be a non-empty string"),
+            "number": lambda: F.when(~finite, "must be a finite number"),
+            "integer": lambda: F.when(~finite, "must be a finite number").when(number != F.floor(number), "must be an integer"),
+            "boolean": lambda: F.when(F.schema_of_variant(v) != "BOOLEAN", "must be a boolean"),
+            "enum": lambda: F.when(~J.is_string(v) | ~text.isin(*self.values), "must be one of: " + ", ".join(self.values)),
+            "json": lambda: F.when(F.isnan(number) | (F.abs(number) == float("inf")), "must be a JSON value"),
+        }[self.kind]()
         absent = F.lit(None).cast("string") if self.optional else F.lit("is required")
         return F.when(v.isNull(), absent).otherwise(wrong)
 
