@@ -47,4 +47,4 @@ def p10_held_out(spark, d):
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
-ORACLES = {"p8_round_trip": "SELECT count(*) AS n_documents, 0 AS n_different FROM documents"}
+ORACLES = {"p8_round_trip": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_different FROM documents"}
