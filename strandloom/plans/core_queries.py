@@ -26,22 +26,8 @@ def p4_found(spark, d):
     return drift.changes(table(spark, d, "raw_events"))
 
 
-#: The consistent table of p4_table: envelope fields and payload fields that several kinds share.
-P4_TARGETS = [
-    drift.Target("envelope_version", "envelopeVersion", "string", False),
-    drift.Target("schema_version", "schemaVersion", "string", False),
-    drift.Target("duration_ms", "durationMs", "number"),
-    drift.Target("retries", "retries", "number"),
-    drift.Target("is_draft", "isDraft", "boolean"),
-    drift.Target("region", "region", "string"),
-]
-
-
 def p4_table(spark, d):
-    raw = table(spark, d, "raw_events")
-    wanted = drift.approved(P4_TARGETS, drift.changes(raw))
-    first = drift.ingest(raw, wanted)
-    return drift.promote(first, [drift.Target("trace_id", "traceId", "string", False), drift.Target("score", "score", "number")])
+    return drift.consistent(table(spark, d, "raw_events"))
 
 
 def p5_found(spark, d):

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from strandloom.operators import drift, nested
+from strandloom.plans import core_queries
 
 ROWS = [
     (1, 10, {"eventId": "a", "source": {"connector": "c"}, "payload": {"x": [{"y": [{"z": 1}, None, {"z": 2}]}, 3, [{"w": 1}]], "s": '[{"q":"[{}]"}]', "t": "[draft] no"}, "actors": {"id": "one"}, "subjects": [{"id": "s"}]}),
@@ -47,3 +48,24 @@ def test_changes_and_rescue(spark):
     assert json.loads(by[2]["rescued"]["record"]) == ROWS[1][2]["extra"] | {} or json.loads(by[2]["rescued"]["record"]) == {"extra": ROWS[1][2]["extra"]}
     more = drift.promote(table, [drift.Target("t", "t", "string")])
     assert {r["arrival"]: r["t"] for r in more.where(F.col("t").isNotNull()).collect()} == {1: "[draft] no"}
+
+
+def test_consistent_table(spark, tmp_path):
+    """Renamed fields come out under one column, whichever field they are; a name counts per connector and from its file on."""
+    def record(arrival, batch, connector, payload, **top):
+        return arrival, batch, json.dumps({"eventId": str(arrival), "source": {"connector": connector}, "payload": payload, **top})
+
+    data = [
+        record(1, 10, "c", {"score": 1.5, "checksum": "x"}, traceId="t1"), record(2, 20, "c", {"rating": 2.5, "checksum": "y"}, trace_id="t2"),
+        record(3, 30, "c", {"rating": 3.5, "extra": '{"a": 1}'}, trace_id="t3"), record(4, 40, "c", {"score_v2": 4.5, "extra": {"a": 2}}, trace_id="t4"),
+        record(5, 15, "d", {"rating": 9, "checksum": 7}), record(6, 25, "d", {"rating": "8", "checksum": "z", "isDraft": True}),
+        record(7, 35, "d", {"rating": 7, "checksum": [1]}),
+    ]
+    spark.createDataFrame(data, "arrival bigint, batch_id bigint, raw string").write.parquet(f"{tmp_path}/raw_events.parquet")
+    by = {r["arrival"]: r.asDict(recursive=True) for r in core_queries.p4_table(spark, tmp_path).collect()}
+    assert [by[i]["trace_id"] for i in range(1, 5)] == ["t1", "t2", "t3", "t4"]
+    assert [by[i]["score"] for i in range(1, 5)] == [1.5, 2.5, 3.5, 4.5] and by[5]["score"] is None
+    assert [by[i]["rating"] for i in (1, 2, 5, 6, 7)] == [None, None, 9, 8, 7]
+    assert [by[i]["checksum"] for i in (1, 2, 5, 6, 7)] == ["x", "y", "7", "z", None] and json.loads(by[7]["rescued"]["payload"]) == {"checksum": [1]}
+    assert json.loads(by[3]["extra"]) == {"a": 1} and by[6]["is_draft"] is True
+    assert all(by[i]["rescued"] == {"record": None, "payload": None} for i in range(1, 5))
