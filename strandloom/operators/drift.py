@@ -28,6 +28,9 @@ LEVELS = 10
 #: Columns of the consistent table at most; more is an error, not a cut.
 MAX_COLUMNS = 5_000
 
+#: The types a field can have in a file, in the order in which several are named.
+_TYPES = ("array", "boolean", "number", "object", "string")
+
 _ROWS = "array<struct<field_path:string,type:string>>"
 
 
@@ -106,10 +109,10 @@ def file_fields(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     '|'. Files without a readable record, and those whose records all omit the connector, cannot be compared.
     """
     rows = records.select("batch_id", F.inline("rows"))
-    kinds = F.when(F.col("type") != "null", F.col("type"))
-    fields = rows.groupBy("batch_id", "field_path").agg(F.min(kinds).alias("lo"), F.max(kinds).alias("hi"))
-    fields = fields.select("batch_id", "field_path", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat_ws("|", "lo", "hi")).alias("type"))
-    fields = fields.withColumn("type", F.when(F.col("type") != "", F.col("type")))
+    bit = F.coalesce(*[F.when(F.col("type") == t, 1 << i) for i, t in enumerate(_TYPES)], F.lit(0))
+    fields = rows.groupBy("batch_id", "field_path").agg(F.bit_or(bit).alias("bits"))
+    joined = F.concat_ws("|", *[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, t) for i, t in enumerate(_TYPES)])
+    fields = fields.select("batch_id", "field_path", F.when(F.col("bits") != 0, joined).alias("type"))
     files = records.where(F.col("batch_id").isNotNull()).groupBy("batch_id").agg(F.min("connector").alias("connector")).where(F.col("connector").isNotNull())
     order = Window.partitionBy("connector").orderBy("batch_id")
     return fields, files.select("batch_id", "connector", F.lead("batch_id").over(order).alias("next_id"), (F.row_number().over(order) > 1).alias("has_before"))

@@ -69,3 +69,13 @@ def test_consistent_table(spark, tmp_path):
     assert [by[i]["checksum"] for i in (1, 2, 5, 6, 7)] == ["x", "y", "7", "z", None] and json.loads(by[7]["rescued"]["payload"]) == {"checksum": [1]}
     assert json.loads(by[3]["extra"]) == {"a": 1} and by[6]["is_draft"] is True
     assert all(by[i]["rescued"] == {"record": None, "payload": None} for i in range(1, 5))
+
+
+def test_all_types_of_a_field(spark):
+    """A type between the smallest and the largest name is a type too."""
+    data = [(10, "a", ["array", "number", "string", "null"]), (20, "a", ["array", "string"]), (20, "b", ["null"]), (30, "a", ["string", "object", "boolean", "number", "array"])]
+    records = spark.createDataFrame([(b, "c", [(f, t)]) for b, f, ts in data for t in ts], "batch_id bigint, connector string, rows array<struct<field_path:string,type:string>>")
+    fields, files = drift.file_fields(records)
+    assert {tuple(r) for r in fields.collect()} == {(10, "a", "array|number|string"), (20, "a", "array|string"), (20, "b", None), (30, "a", "array|boolean|number|object|string")}
+    changed = drift.compared(fields, files).where("change_kind = 'type_changed'").collect()
+    assert {(r["batch_id"], r["field_path"]) for r in changed} == {(20, "a"), (30, "a")}
