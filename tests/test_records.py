@@ -79,3 +79,15 @@ def test_all_types_of_a_field(spark):
     assert {tuple(r) for r in fields.collect()} == {(10, "a", "array|number|string"), (20, "a", "array|string"), (20, "b", None), (30, "a", "array|boolean|number|object|string")}
     changed = drift.compared(fields, files).where("change_kind = 'type_changed'").collect()
     assert {(r["batch_id"], r["field_path"]) for r in changed} == {(20, "a"), (30, "a")}
+
+
+def test_two_names_in_one_record(spark):
+    """The name that is not picked stays in rescued; a name that another connector gave means nothing here."""
+    payloads = [(1, 10, {"score": 1, "rating": 2}), (2, 10, {"score": "none", "rating": 3}), (3, 20, {"score": 4, "rating": 5}), (4, 10, {"rating": 6, "scoreValue": 7})]
+    raw = spark.createDataFrame([(a, b, json.dumps({"payload": p})) for a, b, p in payloads], "arrival bigint, batch_id bigint, raw string")
+    names = spark.createDataFrame([(10, {"payload.rating": "payload.score", "payload.scoreValue": "payload.score"})], "batch_id bigint, names map<string,string>")
+    ingested = drift.ingest(raw, [drift.Target("score", "score", "number")], names)
+    promoted = drift.promote(drift.ingest(raw, [], names), [drift.Target("score", "score", "number")], names)
+    for table in (ingested, promoted):
+        got = {r["arrival"]: (r["score"], json.loads(r["rescued"]["payload"])) for r in table.collect()}
+        assert got == {1: (1, {"rating": 2}), 2: (3, {"score": "none"}), 3: (4, {"rating": 5}), 4: (6, {"scoreValue": 7})}
