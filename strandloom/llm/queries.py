@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import encoding, mixing, reading
+from strandloom.llm import encoding, mixing, reading, seen
 from strandloom.session import table
 
 
+def p5_found(spark, d):
+    return seen.repeats(table(spark, d, "seen_keys"), table(spark, d, "observations"))
+
+
+def p5_error_rates(spark, d):
+    return seen.error_rates(table(spark, d, "seen_keys"), table(spark, d, "observations"))
+
+
 def p8_ids(spark, d):
     return encoding.encoded(table(spark, d, "documents"))
 
@@ -47,4 +55,14 @@ def p10_held_out(spark, d):
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
-ORACLES = {"p8_round_trip": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_different FROM documents"}
+ORACLES = {
+    "p5_found": """
+        WITH k AS (
+            SELECT insert_seq, 'id' AS key_field, id AS v FROM observations
+            UNION ALL SELECT insert_seq, 'source_event_id', source_event_id FROM observations),
+        s AS (SELECT 'id' AS key_field, id AS v FROM seen_keys UNION SELECT 'source_event_id', source_event_id FROM seen_keys),
+        f AS (SELECT key_field, v, min(insert_seq) AS first FROM k WHERE v IS NOT NULL GROUP BY ALL)
+        SELECT k.insert_seq, k.key_field FROM k JOIN f USING (key_field, v) LEFT JOIN s USING (key_field, v)
+        WHERE k.insert_seq > f.first OR s.v IS NOT NULL""",
+    "p8_round_trip": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_different FROM documents",
+}
