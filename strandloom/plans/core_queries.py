@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.operators import drift, features, late, nested, redelivery, seen, times
+from strandloom.operators import drift, features, late, nested, redelivery, times
 from strandloom.session import table
 
 
@@ -30,14 +30,6 @@ def p4_table(spark, d):
     return drift.consistent(table(spark, d, "raw_events"))
 
 
-def p5_found(spark, d):
-    return seen.repeats(table(spark, d, "seen_keys"), table(spark, d, "observations"))
-
-
-def p5_error_rates(spark, d):
-    return seen.error_rates(table(spark, d, "seen_keys"), table(spark, d, "observations"))
-
-
 def p6_found(spark, d):
     return late.late_rows(table(spark, d, "observations"))
 
@@ -81,14 +73,6 @@ ORACLES = {
         SELECT hour_start, count(*) FILTER (ingested_at < hour_start + 3600000) AS on_time,
                count(*) FILTER (ingested_at >= hour_start + 3600000) AS corrections, count(*) AS total
         FROM h WHERE ingested_at <= hour_start + 176400000 GROUP BY hour_start""",
-    "p5_found": """
-        WITH k AS (
-            SELECT insert_seq, 'id' AS key_field, id AS v FROM observations
-            UNION ALL SELECT insert_seq, 'source_event_id', source_event_id FROM observations),
-        s AS (SELECT 'id' AS key_field, id AS v FROM seen_keys UNION SELECT 'source_event_id', source_event_id FROM seen_keys),
-        f AS (SELECT key_field, v, min(insert_seq) AS first FROM k WHERE v IS NOT NULL GROUP BY ALL)
-        SELECT k.insert_seq, k.key_field FROM k JOIN f USING (key_field, v) LEFT JOIN s USING (key_field, v)
-        WHERE k.insert_seq > f.first OR s.v IS NOT NULL""",
     "p7_found": """
         WITH r AS (SELECT arrival, try_cast(raw AS JSON) AS j FROM raw_events),
         e AS (SELECT arrival, json_extract_string(j, '$.eventId') AS id FROM r

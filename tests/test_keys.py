@@ -1,53 +1,11 @@
-"""Seen keys, redelivery, late hours and features against brute force."""
-
-import random
+"""Redelivery, late hours and features against brute force."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandloom.functions.ribbon import Ribbon
-from strandloom.operators import features, late, redelivery, seen
+from strandloom.operators import features, late, redelivery
 from strandloom.operators.skew import join_to_unique
 
-OBS = "id string, source_event_id string, insert_seq bigint"
-
-
-def test_ribbon_never_misses():
-    rng = np.random.default_rng(3)
-    for n in (0, 1, 700, 30_000):
-        keys = rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
-        f = Ribbon.unpack(Ribbon.build(keys).pack())
-        assert f.contains(keys).all()
-        assert f.contains(rng.integers(-(2**63), 2**63 - 1, 50_000, dtype=np.int64)).mean() < 0.002
-
-
-def test_repeats(spark):
-    r = random.Random(1)
-    old = [(r.choice(["k%d" % r.randrange(30), None, ""]), r.choice(["e%d" % r.randrange(40), None])) for _ in range(20)]
-    rows = [("hot" if i % 3 == 0 else r.choice(["k%d" % r.randrange(200), None, ""]), r.choice(["e%d" % r.randrange(200), "E1", None]), i * 7) for i in range(300)]
-    got = {tuple(x) for x in seen.repeats(spark.createDataFrame(old, "id string, source_event_id string"), spark.createDataFrame(rows, OBS)).select("insert_seq", "key_field").collect()}
-    want = set()
-    for k, name in ((0, "id"), (1, "source_event_id")):
-        known = {o[k] for o in old}
-        for row in rows:
-            if row[k] is not None:
-                if row[k] in known:
-                    want.add((row[2], name))
-                known.add(row[k])
-    assert got == want
-    empty = spark.createDataFrame([], OBS)
-    assert seen.repeats(empty.drop("insert_seq"), empty).count() == 0
-
-
-def test_error_rates_and_kept_filters(spark):
-    rows = spark.createDataFrame([(f"k{i}", f"e{i}", i) for i in range(3000)], OBS)
-    rates = seen.error_rates(rows.drop("insert_seq").limit(500), rows, 2).collect()
-    assert all(x["wrong_rate"] < 0.003 and x["audit_keys"] > 0 for x in rates) and sum(x["keys"] for x in rates) >= 6000
-    keys = seen.distinct_keys(seen.key_rows(rows.drop("insert_seq"), rows, 1), 2)
-    filters = seen.sealed_filters(keys.where("gen = 0"))
-    assert seen.probe_filters(keys.where("gen = 1"), filters).where("not known").count() == 0
-
-
 def test_redelivered(spark):
     ids = ["x", "x", "y", "", "x", "y", "z", "X"]
     raw = [(i * 10, '{"eventId":"%s"}' % v) for i, v in enumerate(ids)] + [(80, '{"eventId":"\\u0078"}'), (90, '{"eventId":5}'), (100, None), (110, "{"), (120, '{"eventId":5}')]
