@@ -66,7 +66,8 @@ def is_string(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+    """Whether a VARIANT is an object; its fields are not looked at. NULL counts as none."""
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
 
 
 def string_field(doc: Column, path: str) -> Column:
@@ -75,11 +76,21 @@ def string_field(doc: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(child) == "STRING", F.try_variant_get(doc, path, "string"))
 
 
-def readable(df: DataFrame, raw: str, out: str) -> DataFrame:
-    """The rows whose ``raw`` is one JSON object, with its VARIANT in ``out`` instead of the text.
+def parsed(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """``df`` with the VARIANT of ``raw`` in ``out`` instead of the text, NULL where the text is not one JSON object.
 
-    A row generator holds the parsed value, so that it is parsed once whatever is read from it later.
+    Row generators hold the parsed array and its first element: conditions would otherwise parse the text once for every use.
     """
     keep = [c for c in df.columns if c != raw]
-    one = F.filter(F.array(strict_object(F.col(raw))), lambda d: d.isNotNull())
-    return df.select(*keep, F.explode(one).alias(out))
+    text = F.col(raw)
+    w = df.select(*keep, raw, F.explode(F.array(F.when(opens_object(text), wrapped(text)))).alias("__w"))
+    doc = F.when(is_whole(F.col("__w"), text), F.try_variant_get("__w", "$[0]", "variant"))
+    return w.select(*keep, F.explode(F.array(doc)).alias(out))
+
+
+def readable(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """The rows whose ``raw`` is one JSON object, with its VARIANT in ``out`` instead of the text; it is parsed once."""
+    keep = [c for c in df.columns if c != raw]
+    text = F.col(raw)
+    w = df.select(*keep, raw, F.explode(F.array(F.when(opens_object(text), wrapped(text)))).alias("__w"))
+    return w.where(is_whole(F.col("__w"), text)).select(*keep, F.try_variant_get("__w", "$[0]", "variant").alias(out))
