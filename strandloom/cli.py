@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import json
 import sys
-import tempfile
-import time
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from strandloom.operators.intake import Intake
-from strandloom.operators.normalize import Clock, Options
+from strandloom.operators.normalize import Options
 from strandloom.operators.payloads import EXAMPLE_SPECS
 from strandloom.session import local_session
-from strandloom.sources.readers import read_events
+from strandloom.sources.readers import events_of_text, read_events
 
 USAGE = "usage: python -m strandloom.cli [--audit] [--json] [--help] [FILE]\nReads a JSON array of events or NDJSON; standard input without FILE."
 
@@ -35,12 +32,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     files = [a for a in args if not a.startswith("-")]
     try:
-        path = files[0] if files else str(Path(tempfile.mkdtemp()) / "stdin.txt")
-        if not files:
-            Path(path).write_text(sys.stdin.read(), encoding="utf-8")
         spark = local_session()
-        events = read_events(spark, path)
-        engine = Intake(spark, Options(specs=EXAMPLE_SPECS, clock=Clock(int(time.time() * 1000))))
+        events = read_events(spark, files[0]) if files else events_of_text(spark, sys.stdin.read())
+        engine = Intake(spark, Options(specs=EXAMPLE_SPECS))
         results = engine.ingest(events).orderBy("arrival")
         counts = {r["status"]: r["n"] for r in results.groupBy("status").agg(F.count("*").alias("n")).collect()}
         if "--json" in args:

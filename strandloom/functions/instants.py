@@ -59,8 +59,8 @@ CANONICAL = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z\z"
 class EpochRange:
     """Bare numbers are taken as an instant only within these years; their size tells the unit."""
 
-    first_year: int = 2025
-    last_year: int = 2025
+    first_year: int
+    last_year: int
 
     def bounds(self) -> tuple[int, int]:
         return days_of(self.first_year, 1, 1) * 86_400_000, days_of(self.last_year + 1, 1, 1) * 86_400_000
@@ -109,10 +109,11 @@ def instant(value: Column, *, zone: Column | None = None, date_order: Column | N
 
     zone: IANA id of the clock a value without zone or offset was read from; NULL makes such values unresolvable.
     date_order: 'DMY' or 'MDY' for slashed dates; NULL counts as DMY. Empty texts, words, dates without a time of day,
-    impossible dates and times and unknown zones give NULL. Wall times that occur twice mean the earlier instant, skipped
+    impossible dates and times and unknown zones give NULL. numbers: the years in which bare numbers may lie; without it a
+    bare number names no instant. Wall times that occur twice mean the earlier instant, skipped
     ones take the offset in force before the change.
     """
-    lo, hi = (numbers or EpochRange()).bounds()
+    lo, hi = numbers.bounds() if numbers else (0, 0)
     zone = F.lit(None).cast("string") if zone is None else zone
     mdy = F.lit(False) if date_order is None else F.coalesce(date_order == "MDY", F.lit(False))
     known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])

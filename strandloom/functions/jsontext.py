@@ -42,12 +42,6 @@ def strict_value(text: Column) -> Column:
     return F.when(is_whole(w, text), F.try_variant_get(w, "$[0]", "variant"))
 
 
-def strict_object(text: Column) -> Column:
-    """The VARIANT of a text that is exactly one JSON object, else NULL."""
-    w = wrapped(text)
-    return F.when(opens_object(text) & is_whole(w, text), F.try_variant_get(w, "$[0]", "variant"))
-
-
 def kind_of(value: Column) -> Column:
     """string, number, boolean, object, array or null of a VARIANT; NULL for an absent one."""
     name = lambda s: (

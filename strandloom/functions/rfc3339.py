@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandloom.functions.instants import _day_number, instant, let
+from strandloom.functions.instants import instant
 
-_PATTERN = r"\A(\d{4})-(\d{2})-(\d{2})[Tt](\d{2}):(\d{2}):(\d{2})(\.\d+)?(?:[Zz]|([+-])(\d{2}):(\d{2}))\z"
-_SEP = "\u0001"
+#: The shape alone; every field but the fraction has a fixed place, and ranges are checked on the values.
+SHAPE = r"\A\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})\z"
+_DAY_MS, _HOUR_MS, _MINUTE_MS = 86_400_000, 3_600_000, 60_000
 
 
 def strict_ms(value: Column) -> Column:
     """Epoch ms of a timestamp with a mandatory offset, NULL if it is not one or names no real instant.
 
-    Second 60 is refused; offsets reach 23:59; a fraction of any length is rounded to the millisecond. Years 0 to 99 mean
-    1900 to 1999, as in the implementation this follows.
+    Which days exist is left to Spark's own calendar. Second 60 is refused; offsets reach 23:59; a fraction of any length is
+    rounded to the millisecond. Years 0 to 99 mean 1900 to 1999, as in the implementation this follows.
     """
-
-    def build(p: Column) -> Column:
-        y0, m, d, h, mi, s = (p[i].cast("int") for i in range(1, 7))
-        leap = ((y0 % 4 == 0) & (y0 % 100 != 0)) | (y0 % 400 == 0)
-        longest = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-        off_h, off_m = F.coalesce(p[9].try_cast("int"), F.lit(0)), F.coalesce(p[10].try_cast("int"), F.lit(0))
-        good = m.between(1, 12) & (d >= 1) & (d <= longest) & (h <= 23) & (mi <= 59) & (s <= 59) & (off_h <= 23) & (off_m <= 59)
-        ms = F.coalesce(F.floor(F.concat(F.lit("0"), p[7]).try_cast("double") * 1000 + 0.5), F.lit(0))
-        y = y0 + F.when(y0 < 100, 1900).otherwise(0)
-        wall = _day_number(y, m, d) * F.lit(86_400_000).cast("bigint") + (h * 3600 + mi * 60 + s) * F.lit(1000).cast("bigint") + ms
-        return F.when(good, wall - (off_h * 60 + off_m) * F.when(p[8] == "-", -1).otherwise(1) * 60_000).cast("bigint")
-
-    groups = F.split(F.regexp_replace(value, _PATTERN, _SEP.join(["@", *[f"${i}" for i in range(1, 11)]])), _SEP)
-    return F.when(value.rlike(_PATTERN), let(groups, build))
+    part = lambda start, length: F.substring(value, start, length)
+    number = lambda text: text.cast("int")
+    named_day = F.concat(part(1, 10)).try_cast("date")
+    year = F.when(part(1, 2) == "00", F.concat(F.lit("19"), part(3, 2))).otherwise(part(1, 4))
+    first = F.concat(year, part(5, 3), F.lit("-01")).try_cast("date")
+    hour, minute, second = number(part(12, 2)), number(part(15, 2)), number(part(18, 2))
+    fraction = F.when(part(20, 1) == ".", F.concat(F.lit("0"), F.regexp_extract(value, r"\.\d+", 0)).cast("double")).otherwise(0.0)
+    away = F.when(~F.upper(F.right(value, F.lit(1))).isin("Z"), F.right(value, F.lit(6)))
+    off_hour, off_minute = F.coalesce(number(F.substring(away, 2, 2)), F.lit(0)), F.coalesce(number(F.substring(away, 5, 2)), F.lit(0))
+    east = (off_hour * _HOUR_MS + off_minute * _MINUTE_MS) * F.when(away.startswith("-"), -1).otherwise(1)
+    real = named_day.isNotNull() & (hour <= 23) & (minute <= 59) & (second <= 59) & (off_hour <= 23) & (off_minute <= 59)
+    days = F.unix_date(first).cast("bigint") + number(part(9, 2)) - 1
+    wall = days * _DAY_MS + hour * _HOUR_MS + minute * _MINUTE_MS + second * 1000 + F.floor(fraction * 1000 + 0.5)
+    return F.when(value.rlike(SHAPE), F.when(real, (wall - east).cast("bigint")))
 
 
 def lenient_ms(value: Column) -> Column:
-    """Strict first, then every writing known to :func:`instant` with UTC for missing zones, then a date alone (midnight UTC)."""
+    """Strict first, then every writing known to :func:`instant` with UTC for missing zones, then a date alone (midnight UTC).
+
+    Bare numbers are no times here: nothing says in which years they would have to lie.
+    """
     day = F.when(value.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.concat(value, F.lit("T00:00:00Z")))
     return F.coalesce(strict_ms(value), instant(value, zone=F.lit("UTC")), strict_ms(day))
 

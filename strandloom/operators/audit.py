@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import canonical as C
 from strandloom.operators.normalize import UNKNOWN_EVENT, Clock
-from strandloom.operators.ordering import with_running_sum
-from strandloom.session import written
+from strandloom.operators.ordering import before_parts, parts_for
+from strandloom.session import scratch, written
 
 GENESIS = "genesis"
 AUDIT = "id string, stage string, outcome string, event_id string, observation_id string, at bigint, detail string, sequence bigint, previous_hash string, hash string"
@@ -23,13 +23,22 @@ def _record(stage: str, outcome: str, detail: Column | None = None) -> Column:
     return F.struct(F.lit(stage).alias("stage"), F.lit(outcome).alias("outcome"), (F.lit(None).cast("string") if detail is None else detail).alias("detail"))
 
 
-def clock_reads() -> Column:
-    """How often a delivery reads the clock: once for ingested_at if it is valid, and once per audit record."""
-    return F.when(F.col("status") == "accepted", 6).when(F.col("status") == "duplicate", 3).when(F.col("status") == "rejected", 2).otherwise(1)
+#: Audit records of a delivery by its status.
+RECORDS = {"accepted": 5, "duplicate": 2, "rejected": 2, "skipped": 1}
 
 
-def records_of(results: DataFrame) -> DataFrame:
-    """arrival, k (place within the delivery), stage, outcome, event_id, observation_id, detail of every result."""
+def records_per() -> Column:
+    return F.coalesce(*[F.when(F.col("status") == s, n) for s, n in RECORDS.items()])
+
+
+def clock_reads(archived: bool = False) -> Column:
+    """How often a delivery reads the clock: for the archive if there is one, for ingested_at if it is valid, once per record."""
+    own = F.when(F.col("status").isin("accepted", "duplicate"), 1).otherwise(0)
+    return records_per() + own + int(archived)
+
+
+def records_of(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """arrival, k (place within the delivery), stage, outcome, event_id, observation_id, detail of every result, and its columns ``keep``."""
     q = C.quoted
     issue = lambda x: C.obj(path=q(x["path"]), message=q(x["message"]))
     issues = F.when(F.size("issues") > 0, F.concat(F.lit("["), F.array_join(F.transform("issues", issue), ","), F.lit("]")))
@@ -43,27 +52,21 @@ def records_of(results: DataFrame) -> DataFrame:
         .otherwise(F.array(_record("validation", "skipped", C.obj(reason=reason, message=message))))
     )
     linked = F.when(F.col("status").isin("accepted", "duplicate"), F.col("id"))
-    rows = results.select("arrival", F.coalesce("event_id", F.lit(UNKNOWN_EVENT)).alias("event_id"), linked.alias("observation_id"), F.posexplode(chosen).alias("k", "r"))
-    return rows.select("arrival", "k", F.col("r.stage").alias("stage"), F.col("r.outcome").alias("outcome"), "event_id", "observation_id", C.exact(F.col("r.detail")).alias("detail"))
+    rows = results.select("arrival", F.coalesce("event_id", F.lit(UNKNOWN_EVENT)).alias("event_id"), linked.alias("observation_id"), *keep, F.posexplode(chosen).alias("k", "r"))
+    return rows.select("arrival", "k", *keep, F.col("r.stage").alias("stage"), F.col("r.outcome").alias("outcome"), "event_id", "observation_id", F.col("r.detail").alias("detail"))
 
 
-def sequenced(results: DataFrame, clock: Clock, first_sequence: int = 0) -> DataFrame:
-    """The records with sequence, at and a deterministic id. ``results`` carries ``reads_before`` of :func:`timed`."""
-    per = F.when(F.col("status") == "accepted", 5).when(F.col("status") == "skipped", 1).otherwise(2)
-    base = with_running_sum(results.select("arrival", "reads_before", "status", per.alias("records")), "arrival", "records", "before")
-    own = F.when(F.col("status").isin("accepted", "duplicate"), 1).otherwise(0)
-    base = base.select("arrival", "before", (F.col("reads_before") + own).alias("first_read"))
-    rows = records_of(results).join(base, "arrival")
-    sequence = F.col("before") + F.col("k") + first_sequence
+def sequenced(results: DataFrame, clock: Clock, first_sequence: int = 0, archived: bool = False) -> DataFrame:
+    """The records with sequence, at and a deterministic id. ``results`` carries ``reads_before`` and ``records_before``, the
+    clock reads and the records of all earlier deliveries."""
+    own = F.when(F.col("status").isin("accepted", "duplicate"), 1).otherwise(0) + int(archived)
+    placed = results.withColumn("first_read", F.col("reads_before") + own)
+    sequence = F.col("records_before") + F.col("k") + first_sequence
     at = F.lit(clock.start).cast("bigint") + (F.col("first_read") + F.col("k")) * clock.step
+    rows = records_of(placed, ("records_before", "first_read"))
     return rows.select(F.concat(F.lit("rec-"), sequence.cast("string")).alias("id"), "stage", "outcome", "event_id", "observation_id", at.alias("at"), "detail", sequence.alias("sequence"))
 
 
-def timed(results: DataFrame) -> DataFrame:
-    """``results`` with ``reads_before``: the clock reads of all earlier deliveries."""
-    return with_running_sum(results.withColumn("__reads", clock_reads()), "arrival", "__reads", "reads_before").drop("__reads")
-
-
 def record_json(previous: Column) -> Column:
     c, q = F.col, C.quoted
     return C.obj(
@@ -72,56 +75,82 @@ def record_json(previous: Column) -> Column:
     )
 
 
-def record_text(previous: Column) -> Column:
-    return C.exact(record_json(previous))
-
-
 #: Stands for the hash not known yet. Inside any string of a record its quotes would be escaped, so it is found nowhere else.
 _HOLE = '"previousHash":"@@previous@@"'
+#: Records whose texts one task of the fold reads at a time, about, and folders of such texts at most.
+FOLD_ROWS, MAX_FOLDERS = 1_000_000, 20_000
+_HASHES = "sequence bigint, previous_hash string, hash string"
 
 
-def chained(records: DataFrame, previous: str = GENESIS, secret: str | bytes | None = None) -> DataFrame:
-    """The records with previous_hash and hash. Texts are made in parallel; only the fold over them, which cannot be split,
-    runs in one task, streaming over Arrow batches and keeping nothing but the last hash."""
-    texts = records.withColumn("__json", F.explode(F.array(record_json(F.lit("@@previous@@")))))
-    ready = texts.select(*records.columns, C.exact(F.col("__json")).alias("__text"))
+def _fold(previous: str, secret: str | bytes | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     key = secret.encode() if isinstance(secret, str) else secret
-    n = len(records.columns)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = previous
         for batch in batches:
             before, hashes = [], []
-            for text in batch.column(n).to_pylist():
+            for text in batch.column(1).to_pylist():
                 before.append(last)
                 data = text.replace(_HOLE, f'"previousHash":"{last}"', 1).encode()
                 last = (hashlib.sha256(data) if key is None else hmac.new(key, data, hashlib.sha256)).hexdigest()
                 hashes.append(last)
-            names = [*batch.schema.names[:n], "previous_hash", "hash"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(before, pa.string()), pa.array(hashes, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.string()), pa.array(hashes, pa.string())], ["sequence", "previous_hash", "hash"])
+
+    return run
+
 
-    # the texts are written first: the single task of the fold then only reads and hashes
-    return written(ready, "records").repartition(1).sortWithinPartitions("sequence").mapInArrow(fold, AUDIT)
+def chained(records: DataFrame, previous: str = GENESIS, secret: str | bytes | None = None, first: int | None = None, count: int | None = None) -> DataFrame:
+    """The records with previous_hash and hash. first, count: the smallest sequence and how many there are, if known.
+
+    Only the fold cannot be split. Texts are made in parallel and stored by ranges of the sequence; one small task after the
+    other then reads one range's sequences and texts, nothing else, carrying the last hash over, and the hashes are joined
+    back in parallel.
+    """
+    if first is None or count is None:
+        low, high = records.agg(F.min("sequence"), F.max("sequence")).first()
+        first, count = (low or 0), 0 if low is None else high - low + 1
+    spark = records.sparkSession
+    width = max(FOLD_ROWS // 20, -(-count // MAX_FOLDERS))
+    parts = -(-count // width)
+    at = F.floor((F.col("sequence") - first) / width).cast("int")
+    path, hashes = scratch(spark, "records"), scratch(spark, "hashes")
+    texts = records.withColumns({"__text": record_json(F.lit("@@previous@@")), "__part": at})
+    texts.repartition(max(1, parts), "__part").write.partitionBy("__part").parquet(path)
+    ready = spark.read.schema(texts.schema).parquet(path)
+    last, step = previous, max(1, FOLD_ROWS // width)
+    for low in range(0, parts, step):
+        some = ready.where((F.col("__part") >= low) & (F.col("__part") < low + step)).select("sequence", "__text")
+        out = f"{hashes}/from={low}"
+        some.repartition(1).sortWithinPartitions("sequence").mapInArrow(_fold(last, secret), _HASHES).write.parquet(out)
+        if low + step < parts:
+            last = spark.read.schema(_HASHES).parquet(out).agg(F.max_by("hash", "sequence")).first()[0] or last
+    if not parts:
+        return records.withColumns({"previous_hash": F.lit(None).cast("string"), "hash": F.lit(None).cast("string")})
+    return ready.drop("__text", "__part").join(spark.read.schema(_HASHES).parquet(f"{hashes}/from=*"), "sequence").select(*[c.split()[0] for c in AUDIT.split(", ")])
 
 
 def verify_chain(trail: DataFrame, secret: str | bytes | None = None, position: str = "sequence") -> DataFrame:
     """One row: ok, length, broken_at, reason (bad_sequence, broken_link or bad_hash) of a trail in the order of ``position``.
 
-    The place in the list must equal the sequence. Each record is checked against the one before it by a join on the place,
-    so any number of tasks takes part; the first failing place decides.
+    The place in the list must equal the sequence. Hashes are made anew where the rows lie; only numbers and hashes are then
+    range-partitioned, each record meets the one before it inside its range, and the first of a range the last of the range
+    before (at most MAX_PARTS rows). The first failing place decides.
     """
-    one = trail.withColumn("__one", F.lit(1))
-    placed = with_running_sum(one, position, "__one", "pos").drop("__one")
-    before = placed.select((F.col("pos") + 1).alias("pos"), F.col("hash").alias("__before"))
-    linked = placed.join(before, "pos", "left").withColumn("__before", F.when(F.col("pos") == 0, GENESIS).otherwise(F.col("__before")))
-    linked = linked.withColumn("__json", F.explode(F.array(record_json(F.col("previous_hash")))))
-    hash_ = C.digest(C.exact(F.col("__json")), secret)
+    made = C.digest(record_json(F.col("previous_hash")), secret)
+    checked = written(trail.select(F.col(position).alias("__at"), "sequence", "previous_hash", "hash", F.col("hash").eqNullSafe(made).alias("good")), "checked")
+    ranged = written(checked.repartitionByRange(parts_for(trail.sparkSession, checked.count()), "__at").withColumn("__part", F.spark_partition_id()), "ranged")
+    inner = Window.partitionBy("__part").orderBy("__at")
+    linked = ranged.withColumns({"__before": F.lag("hash").over(inner), "__row": F.row_number().over(inner) - 1})
+    totals = ranged.groupBy("__part").agg(F.count("*").alias("n"), F.max_by("hash", "__at").alias("last"))
+    bounds = before_parts(totals, offset="n").join(F.broadcast(totals.select("__part", F.lag("last").over(Window.orderBy("__part")).alias("__last"))), "__part")
+    placed = linked.join(F.broadcast(bounds), "__part").withColumn("pos", F.col("__row") + F.col("offset"))
+    before = F.when(F.col("pos") == 0, GENESIS).when(F.col("__row") == 0, F.col("__last")).otherwise(F.col("__before"))
     wrong = (
-        F.when(F.col("sequence") != F.col("pos"), "bad_sequence")
-        .when(~F.col("previous_hash").eqNullSafe(F.col("__before")), "broken_link")
-        .when(~F.col("hash").eqNullSafe(F.col("computed")), "bad_hash")
+        F.when(~F.col("sequence").eqNullSafe(F.col("pos")), "bad_sequence")
+        .when(~F.col("previous_hash").eqNullSafe(before), "broken_link")
+        .when(~F.col("good"), "bad_hash")
     )
-    checked = linked.withColumn("computed", hash_).select("pos", wrong.alias("wrong"))
+    checked = placed.select("pos", wrong.alias("wrong"))
     bad = F.col("wrong").isNotNull()
     out = checked.agg(F.count("*").alias("length"), F.min(F.when(bad, F.col("pos"))).alias("broken_at"), F.min_by("wrong", F.when(bad, F.col("pos"))).alias("reason"))
     ok = F.col("broken_at").isNull()
@@ -140,7 +169,3 @@ def ndjson(trail: DataFrame) -> DataFrame:
 def tail(trail: DataFrame) -> DataFrame:
     """The record of the largest sequence: no row for an empty trail."""
     return trail.orderBy(F.desc("sequence")).limit(1)
-
-
-def by_place(df: DataFrame, order: list[Column]) -> Column:
-    return F.row_number().over(Window.orderBy(*order))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandloom.functions import jsontext as J
-from strandloom.functions.canonical import member
+from strandloom.functions.canonical import canonical, json_value, member
 
 
 @dataclass(frozen=True)
@@ -45,28 +47,63 @@ class Check:
         return member(self.name, F.to_json(self._value(payload)))
 
 
+#: What a validator in Python returns: attributes as plain data, or the issues found as (path below payload, message).
+Validation = dict | list
+_VALIDATED = "attributes string, issues array<struct<path:string,message:string>>"
+_ISSUES = "array<struct<path:string,message:string>>"
+
+
 @dataclass(frozen=True)
 class PayloadSpec:
-    """The schema of one (kind, schema version): the observation type and the checks in the order issues are reported."""
+    """The schema of one (kind, schema version): the observation type and the checks in the order issues are reported.
+
+    computed: attributes that are not read but made, as (name, function of the payload's VARIANT to a JSON text or NULL).
+    validator: instead of checks, a Python function of the payload (plain data) that returns a dict of attributes or a list of
+    issues (path, message); it runs in Arrow batches over the payloads of this kind alone.
+    """
 
     kind: str
     schema_version: str
     type: str
-    checks: tuple[Check, ...]
+    checks: tuple[Check, ...] = ()
+    computed: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
+    validator: Callable[[object], Validation] | None = None
+
+    def _validated(self, payload: Column, here: Column) -> Column:
+        validate = self.validator
+
+        @F.pandas_udf(_VALIDATED)
+        def run(texts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for text in texts:
+                got = [] if text is None else validate(json.loads(text))
+                issues = [{"path": f"payload.{p}" if p else "payload", "message": m} for p, m in got] if isinstance(got, list) else []
+                rows.append((canonical(json_value(got)) if isinstance(got, dict) else None, issues))
+            return pd.DataFrame(rows, columns=["attributes", "issues"])
+
+        return run(F.when(here, F.to_json(payload)))
 
-    def issues(self, payload: Column) -> Column:
+    def issues(self, payload: Column, here: Column) -> Column:
         """array<struct<path,message>> of a payload that is there; a payload that is no object has one issue."""
+        if self.validator is not None:
+            return self._validated(payload, here)["issues"]
+        messages = [c.message(payload) for c in self.checks]
+        fine = J.is_object(payload)
+        for m in messages:
+            fine = fine & m.isNull()
         found = F.filter(
-            F.array(*[F.struct(F.lit(f"payload.{c.name}").alias("path"), c.message(payload).alias("message")) for c in self.checks]),
+            F.array(*[F.struct(F.lit(f"payload.{c.name}").alias("path"), m.alias("message")) for c, m in zip(self.checks, messages, strict=True)]).cast(_ISSUES),
             lambda x: x["message"].isNotNull(),
         )
-        whole = F.array(F.struct(F.lit("payload").alias("path"), F.lit("must be an object").alias("message")))
-        is_object = F.try_variant_get(payload, "$", "map<string,variant>").isNotNull()
-        return F.when(is_object, found).otherwise(whole)
+        whole = F.array(F.struct(F.lit("payload").alias("path"), F.lit("must be an object").alias("message"))).cast(_ISSUES)
+        return F.when(fine, F.array().cast(_ISSUES)).when(J.is_object(payload), found).otherwise(whole)
 
-    def attributes(self, payload: Column) -> Column:
-        """JSON of the declared fields that are there, keys sorted."""
-        return F.concat(F.lit("{"), F.concat_ws(",", *[c.text(payload) for c in sorted(self.checks, key=lambda c: c.name)]), F.lit("}"))
+    def attributes(self, payload: Column, here: Column) -> Column:
+        """JSON of the declared fields that are there and of the computed ones, keys sorted."""
+        if self.validator is not None:
+            return self._validated(payload, here)["attributes"]
+        members = {c.name: c.text(payload) for c in self.checks} | {name: member(name, make(payload)) for name, make in self.computed}
+        return F.concat(F.lit("{"), F.concat_ws(",", *[members[k] for k in sorted(members, key=lambda k: k.encode("utf-16-be"))]), F.lit("}"))
 
 
 class Registry:
@@ -92,13 +129,13 @@ class Registry:
             out = F.when(kind == k, ", ".join(v)).otherwise(out)
         return out
 
-    def pick(self, kind: Column, version: Column, value: Callable[[PayloadSpec], Column], none: Column) -> Column:
-        """``value`` of the spec that the row's kind and version name; only that branch is evaluated."""
+    def pick(self, kind: Column, version: Column, value: Callable[[PayloadSpec, Column], Column], none: Column) -> Column:
+        """``value`` (of the spec and of whether it is the row's) for the spec that kind and version name; only that branch is evaluated."""
         out = None
         for by_version in self.specs.values():
             for s in by_version.values():
                 here = (kind == s.kind) & (version == s.schema_version)
-                out = F.when(here, value(s)) if out is None else out.when(here, value(s))
+                out = F.when(here, value(s, here)) if out is None else out.when(here, value(s, here))
         return none if out is None else out.otherwise(none)
 
 

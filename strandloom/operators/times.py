@@ -37,10 +37,10 @@ def json_time_text(doc: Column, path: str) -> Column:
     )
 
 
-def event_times(raw_events: DataFrame, systems: DataFrame, numbers: EpochRange | None = None) -> DataFrame:
+def event_times(raw_events: DataFrame, systems: DataFrame, numbers: EpochRange) -> DataFrame:
     """arrival, value, utc_ms, canonical, state of every readable record.
 
-    state is 'canonical', 'normalised' or 'unresolved'. Null and unparsable raw texts are not readable and give no row; a
+    numbers: the years in which bare numbers may lie. state is 'canonical', 'normalised' or 'unresolved'. Null and unparsable raw texts are not readable and give no row; a
     record without occurredAt is unresolved. Repeated arrivals keep their rows; other columns of the input are not used.
     """
     J.allow_repeated_keys(raw_events.sparkSession)
@@ -66,8 +66,8 @@ def observation_times(observations: DataFrame) -> DataFrame:
     return observations.select("insert_seq", "observed_at", ms.alias("utc_ms"), state.alias("state"))
 
 
-def found_times(raw_events: DataFrame, observations: DataFrame, systems: DataFrame) -> DataFrame:
-    a = event_times(raw_events, systems).where(F.col("state") == "normalised")
+def found_times(raw_events: DataFrame, observations: DataFrame, systems: DataFrame, numbers: EpochRange) -> DataFrame:
+    a = event_times(raw_events, systems, numbers).where(F.col("state") == "normalised")
     b = observation_times(observations).where(F.col("state") == "normalised")
     return a.select(F.lit("raw_events").alias("rec_table"), F.col("arrival").alias("rec_key"), "utc_ms").unionByName(
         b.select(F.lit("observations").alias("rec_table"), F.col("insert_seq").alias("rec_key"), "utc_ms")
