@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import features, late, redelivery
 from strandloom.operators.skew import join_to_unique
+from strandloom.session import scratch
+from strandloom.streaming.ingest import exactly_once_stream, late_hours_stream
+
 
 def test_redelivered(spark):
     ids = ["x", "x", "y", "", "x", "y", "z", "X"]
@@ -36,6 +39,63 @@ def test_late_hours(spark):
     assert [tuple(r) for r in late.corrected_hours(df).select("hour_start", "on_time", "corrections", "total").collect()] == [(base // h * h, 2, 3, 5)]
 
 
+def test_late_hours_open_again(spark, monkeypatch):
+    """A batch counts once however often it comes, whoever opened the folder; compaction and failed batches change nothing."""
+    monkeypatch.setattr(late, "COMPACT_AT", 2)
+    h, base = 3_600_000, 1_742_000_400_000
+    hour, root = base // h * h, scratch(spark, "late")
+    frame = lambda *rows: spark.createDataFrame(rows, "insert_seq bigint, event_ms bigint, ingested_at bigint")
+    first, second, third = frame((1, base, base + 1)), frame((2, base, base + 2 * h), (3, base, base + 90 * h)), frame((4, base + 24 * h, base + 24 * h))
+    late.LateHours(spark, root).ingest(first, 0)
+    again = late.LateHours(spark, root)
+    again.ingest(first, 0)
+    second.write.parquet(f"{root}/retained/0-batch-000000001/part=1")  # left behind by a batch that failed
+    again.ingest(second, 1)
+    once_more = late.LateHours(spark, root)
+    once_more.ingest(second, 1)
+    once_more.ingest(third)
+    want = {(hour, 1, 1, 2), (hour + 24 * h, 1, 0, 1)}
+    for state in (once_more, late.LateHours(spark, root)):
+        assert {tuple(r)[:4] for r in state.hours().collect()} == want
+        assert sorted(tuple(r) for r in state.verdicts().collect()) == [(1, "on_time"), (2, "correction"), (3, "too_late"), (4, "on_time")]
+    assert once_more.state["last"] == 2 and not once_more.state["done"]
+
+
+def test_identifier_index_opens_again_and_grows(spark):
+    root = scratch(spark, "index")
+    frame = lambda ids, at: spark.createDataFrame([(v, at + i) for i, v in enumerate(ids)], "id string, arrival bigint")
+    ids = [f"k{i}" for i in range(60)]
+    batches = [frame(ids[:20] + ids[:5], 0), frame(ids[10:40], 100), frame(ids[35:60] + ["k0", ""], 200), frame(ids, 300)]
+    seen: dict[str, int] = {}
+    for number, batch in enumerate(batches):
+        index = redelivery.IdentifierIndex(spark, root, prefix_keys=10)
+        got = {(r["id"], r["kept"]) for r in index.ingest(batch, number).collect()}
+        again = {(r["id"], r["kept"]) for r in redelivery.IdentifierIndex(spark, root).ingest(batch, number).collect()}
+        rows, want = [r for r in batch.collect() if r["id"]], set()
+        counts = {i: sum(r["id"] == i for r in rows) for i in {r["id"] for r in rows}}
+        for i, n in counts.items():
+            first = seen.setdefault(i, min(r["arrival"] for r in rows if r["id"] == i))
+            if n > 1 or first < number * 100:
+                want.add((i, first))
+        assert got == again == want
+    last = redelivery.IdentifierIndex(spark, root)
+    assert last.state["next"] == 4 and max(r["bits"] for r in last.state["runs"]) >= 3 and sum(r["rows"] for r in last.state["runs"]) == 60
+
+
+def test_streams_take_a_micro_batch_once(spark):
+    state = late.LateHours(spark, scratch(spark, "late"))
+    index = redelivery.IdentifierIndex(spark, scratch(spark, "ids"))
+    source, sink = scratch(spark, "source"), scratch(spark, "sink")
+    base = 1_742_000_400_000
+    spark.createDataFrame([(1, "a", base, base), (2, "a", base, base)], "insert_seq bigint, id string, event_ms bigint, ingested_at bigint").write.parquet(source)
+    for _ in range(2):  # the second time from a new checkpoint: all is delivered again
+        stream = spark.readStream.schema("insert_seq bigint, id string, event_ms bigint, ingested_at bigint").parquet(source)
+        late_hours_stream(state, stream.drop("id"), scratch(spark, "c"), once=True).awaitTermination()
+        exactly_once_stream(index, stream.withColumnRenamed("insert_seq", "arrival").select("id", "arrival"), scratch(spark, "c"), sink, once=True).awaitTermination()
+    assert [r["total"] for r in state.hours().collect()] == [2]
+    assert [r["arrival"] for r in spark.read.parquet(sink).collect()] == [1]
+
+
 def test_features(spark):
     schema = "id string, obs_type string, observed_at bigint, actors array<struct<ref_type:string,ref_id:string,attributes:string>>, attributes string, insert_seq bigint"
     a, b = ("user", "a", None), ("team", "a", None)
