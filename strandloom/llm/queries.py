@@ -36,11 +36,23 @@ def p9_shares(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p9_mix_one_pass(spark, d):
+    """The selection for mixes as large as their sources: small sources are clamped at their caps, the others take what they leave."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="pass")[0]
+
+
 def p9_shares_one_pass(spark, d):
-    """The same for mixes as large as their sources: small sources are clamped at their caps."""
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), total="pass")[1]
 
 
+def p9_checked(spark, d):
+    """Both selections against the caps and the tokens allotted: no document over its cap, every source within half a document."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    sizes = mixing.counted(docs)
+    both = [mixing.checked(*mixing.mix(docs, targets, total=size, sizes=sizes), targets).withColumn("size", F.lit(size)) for size in ("exact", "pass")]
+    return both[0].unionByName(both[1])
+
+
 def p10_found(spark, d):
     return reading.demanding(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
@@ -64,5 +76,8 @@ ORACLES = {
         f AS (SELECT key_field, v, min(insert_seq) AS first FROM k WHERE v IS NOT NULL GROUP BY ALL)
         SELECT k.insert_seq, k.key_field FROM k JOIN f USING (key_field, v) LEFT JOIN s USING (key_field, v)
         WHERE k.insert_seq > f.first OR s.v IS NOT NULL""",
+    "p9_checked": """
+        SELECT DISTINCT mix_name, source, CAST(0 AS BIGINT) AS over_cap, true AS share_met, size
+        FROM mix_targets, (VALUES ('exact'), ('pass')) AS s(size) WHERE mix_name IS NOT NULL AND source IS NOT NULL""",
     "p8_round_trip": "SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS n_different FROM documents",
 }

@@ -63,18 +63,31 @@ def test_water_fill():
     assert mixing.water_fill(100, []) == [] and mixing.exact_total([(1, 10), (3, 60)]) == 40
 
 
+def test_plan():
+    rows = mixing.plan([("big", 0.5, 1, 900), ("none", 0.2, 9, 0), ("off", None, 3, 50), ("small", 0.5, 4, 100)])
+    assert [(r[0], r[2], r[3], r[4]) for r in rows] == [("big", 0.5, 400.0, 0), ("none", 0.0, 0.0, 0), ("off", 0.0, 0.0, 0), ("small", 0.5, 400.0, 4)]
+    assert [r[3] for r in mixing.plan([("big", 0.5, 1, 900), ("small", 0.5, 4, 100)], "pass")] == [600.0, 400.0]
+
+
 def test_mix(spark):
     docs = [(i, "big" if i % 10 else "small", "word " * (5 + i % 7)) for i in range(600)] + [(1000, None, "x"), (1001, "big", None), (1002, "big", "")]
+    docs += [(2000 + i, "small", "") for i in range(600)]  # texts without tokens are no way around the cap
     df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
-    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 4), ("m", "none", 0.2, 9), ("n", "big", 0.0, 1)], "mix_name string, source string, weight double, max_repeats int")
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 4), ("m", "none", 0.2, 9), ("n", "big", 0.0, 1), (None, "big", 1.0, 1)], "mix_name string, source string, weight double, max_repeats int")
     chosen, shares = mixing.mix(df, targets)
     s = {r["source"]: r for r in shares.where("mix_name = 'm'").collect()}
-    assert abs(s["big"]["actual_share"] - 0.5) < 0.01 and s["small"]["passes"] == 4 and s["none"]["used_tokens"] == 0
+    assert abs(s["big"]["actual_share"] - 0.5) < 0.01 and s["small"]["passes"] == 4 and s["none"]["used_tokens"] == 0 and s["none"]["missing"]
+    assert s["big"]["reachable_share"] == 0.5 and s["none"]["reachable_share"] == 0
     assert chosen.where("source = 'small' and copies > 4 or source = 'big' and copies > 1 or mix_name = 'n'").count() == 0
     again, _ = mixing.mix(df, targets)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chosen.collect()))
-    _, full = mixing.mix(df, targets, total="pass")
-    assert {r["source"]: r["clamped"] for r in full.where("mix_name = 'm'").collect()}["small"]
+    picked, full = mixing.mix(df, targets, total="pass")
+    assert {r["source"]: r["clamped"] for r in full.where("mix_name = 'm'").collect()} == {"big": False, "small": True, "none": False}
+    for got in (mixing.checked(chosen, shares, targets), mixing.checked(picked, full, targets)):
+        assert got.where("over_cap > 0 or not share_met").count() == 0
+    half, at_half = mixing.mix(df, targets, total=500.0)  # a small source with a fraction: the document at the cut goes to the nearer side
+    assert mixing.checked(half, at_half, targets).where("over_cap > 0 or not share_met").count() == 0
+    assert mixing.mix(df.limit(0), targets)[0].count() == 0 and mixing.mix(df, targets.limit(0))[0].count() == 0
 
 
 def test_reading_levels(spark):
