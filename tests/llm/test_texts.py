@@ -103,6 +103,25 @@ def test_reading_levels(spark):
     assert reading.demanding(df.limit(0), labels.limit(0)).count() == 0
 
 
-def test_language_and_quotes():
-    assert reading.tokens("La casa hace el pan y la leña con mamá.")[0] == "es" and reading.tokens("Le bois a bu le thé dans la mer.")[0] == "fr"
+def test_languages_are_found_whatever_the_documents_say(spark):
+    """A fifth of the labelled documents say nothing or the wrong language; each still ends under that of its words."""
+    r = random.Random(3)
+    words = {"en": ["the boy", "ran", "to the", "pond", "and", "hill", "with", "a dog"], "es": ["la casa", "hace", "el pan", "y la", "leña", "con", "mamá", "una mesa"]}
+    hard = {"en": "quorum adjudicates", "es": "quorum dirime"}
+    docs, labels = [], []
+    for i in range(200):
+        lang = ("en", "es")[i % 2]
+        text = " ".join(r.choice(words[lang]) for _ in range(12)) + (f" {hard[lang]} moiety" if i % 4 > 1 else "")
+        docs.append((i, text + ".", None if i % 10 == 3 else ("es", "en")[i % 2] if i % 10 == 4 else lang))
+        labels.append((i, 5 if i % 4 > 1 else 1))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    models = reading.fit(df, spark.createDataFrame(labels[:160], "doc_id bigint, reading_level int"))
+    got = {x["doc_id"]: (x["lang"], x["level"]) for x in reading.levels(df, models).collect()}
+    assert models.languages == ["en", "es"] and all(got[i] == (("en", "es")[i % 2], labels[i][1]) for i in range(200))
+
+
+def test_quotes_and_unseen_tokens():
     assert reading.sentences('The boy ran home. “The quorum adjudicates the moiety of the nexus”. The dog sat on a mat.') == [["the", "boy", "ran", "home"], ["the", "dog", "sat", "on", "a", "mat"]]
+    models = reading.Models.of_counts(["en"], reading.np.array([7, 8]), reading.np.array([1, 5]), reading.np.array([9.0, 9.0]), reading.np.array([0.0, 3, 0, 0, 0, 3]))
+    some = models.scores(reading.np.array([99]), reading.np.array([1.0]))
+    assert some[1] == pytest.approx(models.prior[1] + reading.np.log(0.1 / 9.2), abs=1e-5) and models.level(reading.np.array([8]), reading.np.array([2.0]))[1] == 5
