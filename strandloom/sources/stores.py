@@ -193,7 +193,7 @@ class Stores(ObservationStore, AuditStore, RawEventArchive):
             return ids.where(F.lit(False))
         out = None
         for bits in sorted({r["bits"] for r in runs}):
-            kept = self._read([r["path"] for r in runs if r["bits"] == bits], "id string, prefix int")
+            kept = self._runs([r for r in runs if r["bits"] == bits])
             if bits:
                 touched = [r[0] for r in ids.select(_prefix(bits)).distinct().collect()]  # 2 ** MAX_PREFIX_BITS at most
                 kept = kept.where(F.col("prefix").isin(touched)) if len(touched) < 2**bits else kept
@@ -206,10 +206,18 @@ class Stores(ObservationStore, AuditStore, RawEventArchive):
         runs = [*self.state["ids"], self._run(ids, n)]
         size = lambda r: int(math.log(max(1, r["rows"]), MERGE_AT))
         while len(some := [r for r in runs if size(r) == size(runs[-1])]) >= MERGE_AT:
-            merged = self._run(self._read([r["path"] for r in some], "id string, prefix int").select("id"), sum(r["rows"] for r in some))
+            merged = self._run(self._runs(some).select("id"), sum(r["rows"] for r in some))
             runs = [*[r for r in runs if r not in some], merged]
         return runs
 
+    def _runs(self, runs: list[dict]) -> DataFrame:
+        """id, prefix of some runs; each is a folder tree of its own, so each is read for itself."""
+        parts = [self._read([r["path"]], "id string, prefix int") for r in runs]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     def _run(self, ids: DataFrame, n: int) -> dict:
         bits = max(0, min(MAX_PREFIX_BITS, math.ceil(math.log2(max(1, n / PREFIX_IDS)))))
         rows = ids.select("id", _prefix(bits).alias("prefix")).repartition(max(1, 2**bits), "prefix") if bits else ids.select("id", F.lit(0).alias("prefix")).coalesce(1)
@@ -305,7 +313,7 @@ class Stores(ObservationStore, AuditStore, RawEventArchive):
             old.append(p["path"])
             if p["to"] > sequence:
                 kept.append({"path": self._write("archive", self._read([p["path"]], ARCHIVE).where(F.col("sequence") >= sequence)), "from": sequence, "to": p["to"]})
-        self.commit(archive=kept, archive_floor=max(sequence, self.state["archive_floor"]))
+        self.commit(archive=kept, archive_floor=max(min(sequence, self.state["archive_next"]), self.state["archive_floor"]))
         self._forget(old)
         return gone
 
