@@ -60,9 +60,10 @@ def _fields(nodes: Column) -> Column:
 
 def _walk(df: DataFrame, levels: int = LEVELS) -> DataFrame:
     keep = ["batch_id", "connector", "embedded"]
+    listed = [F.concat("rows", _fields(F.col("ns"))).alias("rows"), F.filter("ns", lambda n: n["m"].isNotNull() | n["a"].isNotNull()).alias("ns")]
+    deeper = F.flatten(F.transform("ns", lambda n: _children(n, F.col("embedded")))).alias("ns")
     for _ in range(levels):
-        df = df.select(*keep, F.concat("rows", _fields(F.col("ns"))).alias("rows"), F.filter("ns", lambda n: n["m"].isNotNull() | n["a"].isNotNull()).alias("ns"))
-        df = df.select(*keep, "rows", F.flatten(F.transform("ns", lambda n: _children(n, F.col("embedded")))).alias("ns"))
+        df = df.select(*keep, *listed).select(*keep, "rows", deeper)
     below = F.filter("ns", lambda n: n["m"].isNotNull() | n["a"].isNotNull())
     rest = F.transform(below, lambda n: F.struct(n["path"].alias("path"), F.coalesce(F.to_json(n["m"]), F.to_json(n["a"])).alias("json")))
     return df.select(*keep, F.concat("rows", _fields(F.col("ns"))).alias("rows"), rest.alias("rest"))

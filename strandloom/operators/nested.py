@@ -77,9 +77,12 @@ def _walk(df: DataFrame, levels: int, values: bool) -> DataFrame:
     A level is a projection of its own: the nodes are used twice in the next one, so the optimizer keeps them apart.
     """
     df = df.withColumn("rows", F.array().cast(_EMIT))
+    level = [
+        F.col("arrival"), F.col("embedded"), F.concat("rows", _found(F.col("ns"))).alias("rows"),
+        F.flatten(F.transform("ns", lambda n: _children(n, F.col("embedded"), values))).alias("ns"),
+    ]
     for _ in range(levels):
-        deeper = F.flatten(F.transform("ns", lambda n: _children(n, F.col("embedded"), values)))
-        df = df.select("arrival", "embedded", F.concat("rows", _found(F.col("ns"))).alias("rows"), deeper.alias("ns"))
+        df = df.select(*level)
     content = lambda n: F.coalesce(F.to_json(n["m"]), F.to_json(n["a"]))
     rest = F.transform(
         "ns", lambda n: F.struct(n["path"].alias("path"), n["parent"].alias("parent"), n["emit"].alias("emit"), content(n).alias("json"))
