@@ -19,10 +19,12 @@ MAX_TYPES = 2_000
 def first_stored(observations: DataFrame, registry: DataFrame) -> DataFrame:
     """One row per observation id: its first stored row (smallest insert_seq). Rows without an id count each as one.
 
-    Columns obs_type, latest (epoch ms), measure (double or NULL), actors. The measure is read before the shuffle.
+    Columns obs_type, latest (epoch ms), measure (double or NULL), actors. The first row decides, so an id whose first row has
+    a type that is not registered counts for nothing. Measures are read, and what unregistered rows hold is dropped, before
+    the shuffle.
     """
     kinds = registry.where(F.col("obs_type").isNotNull()).groupBy("obs_type").agg(F.min("measure_field").alias("__field"))
-    known = observations.select("id", "obs_type", "observed_at", "actors", "attributes", "insert_seq").join(small_side(kinds, MAX_TYPES), "obs_type")
+    known = observations.select("id", "obs_type", "observed_at", "actors", "attributes", "insert_seq").join(small_side(kinds.withColumn("__known", F.lit(True)), MAX_TYPES), "obs_type", "left")
     measure = F.when(F.col("__field").isNotNull(), F.call_function("get_json_object", F.col("attributes"), F.concat(F.lit("$."), F.col("__field"))).try_cast("double"))
     who = F.array_distinct(
         F.transform(
@@ -30,9 +32,9 @@ def first_stored(observations: DataFrame, registry: DataFrame) -> DataFrame:
             lambda a: F.struct(a["ref_type"].alias("ref_type"), a["ref_id"].alias("ref_id")),
         )
     )
-    row = F.struct("obs_type", observed_ms("observed_at").alias("latest"), measure.alias("measure"), who.alias("actors"))
+    row = F.when(F.col("__known"), F.struct("obs_type", observed_ms("observed_at").alias("latest"), measure.alias("measure"), who.alias("actors")))
     key = F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("s"), F.col("insert_seq").cast("string")))
-    return known.select(key.alias("__key"), row.alias("__row"), "insert_seq").groupBy("__key").agg(F.min_by("__row", "insert_seq").alias("__row")).select("__row.*")
+    return known.select(key.alias("__key"), row.alias("__row"), "insert_seq").groupBy("__key").agg(F.min_by("__row", "insert_seq").alias("__row")).where(F.col("__row").isNotNull()).select("__row.*")
 
 
 def long_features(observations: DataFrame, registry: DataFrame) -> DataFrame:
