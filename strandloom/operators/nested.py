@@ -135,7 +135,97 @@ def table_path() -> Column:
     return F.regexp_replace("child_path", r"\[\d+\]", "[]")
 
 
-def child_table(raw_events: DataFrame, name: str) -> DataFrame:
-    """One table: arrival, child_path, parent_path, position, value of the elements at ``name``, e.g. payload.stages[].jobs[]."""
-    rows = elements(raw_events, values=True).where(table_path() == name)
-    return rows.withColumn("position", F.regexp_extract("child_path", r"\[(\d+)\]\z", 1).cast("int"))
+def catalogue(raw_events: DataFrame) -> DataFrame:
+    """table_path, parent_table, field_name, json_type, n: every table the records hold, its fields and the types they come in.
+
+    A table is the objects at one path without positions, e.g. payload.stages[].jobs[]; its parent is the table of the nearest
+    enclosing elements, or ``$`` for the record. Objects without fields give their table a row with NULL field_name. A text
+    that as a whole is an object or array is a string here; what it holds has tables of its own.
+    """
+    rows = elements(raw_events, values=True).select(table_path().alias("table_path"), F.regexp_replace("parent_path", r"\[\d+\]", "[]").alias("parent_table"), "value")
+    m = F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")
+    fields = F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("field_name"), J.kind_of(e["value"]).alias("json_type")))
+    return rows.select("table_path", "parent_table", F.explode_outer(fields).alias("f")).groupBy("table_path", "parent_table", "f.field_name", "f.json_type").agg(F.count("*").alias("n"))
+
+
+#: SQL types of JSON types; objects and arrays are columns of JSON text.
+_SQL = {"string": "string", "number": "double", "boolean": "boolean"}
+
+
+def _reached(value: Column, keys: str, embedded: Column) -> Column:
+    """The value below ``value`` at keys like ``.a.b``, opening texts that are objects or arrays on the way."""
+    def child(key: str):
+        return lambda v: F.try_variant_get(v, f"$['{key}']", "variant")
+
+    for key in filter(None, keys.split(".")):
+        value = let(opened(value, embedded), child(key))
+    return opened(value, embedded)
+
+
+def flat_table(raw_events: DataFrame, path: str, columns: dict[str, str]) -> DataFrame:
+    """One typed table: arrival, child_path, parent_path, position, a column for each of ``columns``, rescued.
+
+    path: of the elements, e.g. payload.stages[].jobs[]. Nested transforms walk straight down to it, attaching the ancestor's
+    path and the position at each array; flatten joins what they find, and one inline emits the rows. columns: field names and
+    JSON types; numbers are also texts, and numeric texts numbers. rescued holds as JSON every other field and every value
+    of another type. Elements that are no objects are counted by position and give no row. A field named like one of the
+    fixed columns gets a trailing underscore.
+    """
+    J.allow_repeated_keys(raw_events.sparkSession)
+    flagged = raw_events.select("arrival", "raw", maybe_embedded(F.col("raw")).alias("embedded"))
+    doc, embedded = J.readable(flagged, "raw", "doc"), F.col("embedded")
+    first, *steps = path.removesuffix("[]").split("[]")
+    refs = first in ("actors", "subjects")
+    fixed = {"arrival", "child_path", "parent_path", "position", "rescued"}
+    names = {f: f + "_" if f.lower() in fixed else f for f in columns}
+
+    def fits(v: Column, kind: str) -> Column:
+        k = J.kind_of(v)
+        also = {"string": k == "number", "number": (k == "string") & F.try_variant_get(v, "$", "double").isNotNull()}.get(kind, F.lit(False))
+        return F.coalesce((k == kind) | also, F.lit(False))
+
+    def row(v: Column, m: Column, at: Column, parent: Column, i: Column) -> Column:
+        cells = []
+        for f, kind in columns.items():
+            cell = F.try_element_at(m, F.lit(f))
+            cells.append(F.when(fits(cell, kind), F.try_variant_get(cell, "$", _SQL[kind]) if kind in _SQL else F.to_json(cell)).alias(names[f]))
+        other = F.map_filter(m, lambda k, x: ~F.coalesce(*[F.when(k == f, fits(x, kind)) for f, kind in columns.items()], F.lit(False)))
+        return F.struct(at.alias("child_path"), parent.alias("parent_path"), i.alias("position"), *cells, F.when(F.size(other) > 0, F.to_json(other)).alias("rescued"))
+
+    def below(items: Column, at: Column, parent: Column, rest: list[str]) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            here = F.concat(at, F.lit("["), i.cast("string"), F.lit("]"))
+
+            def inside(v: Column) -> Column:
+                as_map = F.try_variant_get(v, "$", "map<string,variant>")
+                if not rest:
+                    return F.filter(F.array(let(as_map, lambda m: F.when(m.isNotNull(), row(v, m, here, parent, i)))), lambda r: r.isNotNull())
+                own = F.when(J.is_object(v), here).otherwise(parent)
+                nested = F.try_variant_get(_reached(v, rest[0], embedded), "$", "array<variant>")
+                return below(nested, F.concat(here, F.lit(rest[0])), own, rest[1:])
+
+            return let(opened(x, embedded), inside)
+
+        # an element without the array below it has no rows; flatten would lose all for it
+        return F.flatten(F.filter(F.transform(items, one), lambda r: r.isNotNull()))
+
+    def start(v: Column) -> Column:
+        several = F.try_variant_get(v, "$", "array<variant>")
+        return F.when(J.is_object(v), F.array(v)).otherwise(several) if refs and first == path.split("[")[0] else several
+
+    top = _reached(F.col("doc"), "." + first, embedded)
+    found = let(let(top, start), lambda items: below(items, F.lit(first), F.lit("$"), steps))
+    return doc.select("arrival", F.inline(found))
+
+
+def flat_tables(raw_events: DataFrame, max_tables: int = 2_000) -> dict[str, DataFrame]:
+    """Every table of :func:`catalogue` as a typed frame, by its path; a field has the type it most often comes in.
+
+    More tables than ``max_tables`` are as many plans, so that is an error; :func:`elements` then holds them all in one long table.
+    """
+    counts = catalogue(raw_events).where((F.col("json_type") != "null") | F.col("field_name").isNull()).groupBy("table_path", "field_name")
+    best = counts.agg(F.max_by("json_type", F.struct("n", "json_type")).alias("json_type")).groupBy("table_path")
+    listed = best.agg(F.collect_list(F.struct("field_name", "json_type")).alias("fields")).orderBy("table_path").limit(max_tables + 1).collect()
+    if len(listed) > max_tables:
+        raise ValueError(f"more than {max_tables} tables")
+    return {r["table_path"]: flat_table(raw_events, r["table_path"], {f["field_name"]: f["json_type"] for f in sorted(r["fields"], key=str) if f["field_name"] is not None}) for r in listed}

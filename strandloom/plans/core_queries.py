@@ -19,6 +19,28 @@ def p2_found(spark, d):
     return nested.elements(table(spark, d, "raw_events"))
 
 
+def p2_tables(spark, d):
+    """The tables the records fall into, with their parents, fields and types."""
+    return nested.catalogue(table(spark, d, "raw_events"))
+
+
+def p2_actors(spark, d):
+    """The actors of all records as a typed table."""
+    return nested.flat_table(table(spark, d, "raw_events"), "actors[]", {"type": "string", "id": "string"}).drop("rescued")
+
+
+def p2_jobs(spark, d):
+    """A table two arrays deep: the jobs of the stages of pipelines."""
+    t = nested.flat_table(table(spark, d, "raw_events"), "payload.stages[].jobs[]", {"runner": "string", "tookMs": "number"})
+    return t.drop("rescued")
+
+
+def p2_steps(spark, d):
+    """Three arrays deep, children of p2_jobs: its parent_path is their child_path."""
+    t = nested.flat_table(table(spark, d, "raw_events"), "payload.stages[].jobs[].steps[]", {"cmd": "string", "code": "number"})
+    return t.drop("rescued")
+
+
 def p3_features(spark, d):
     return features.wide_features(table(spark, d, "observations"), table(spark, d, "kind_registry"))
 
@@ -65,7 +87,40 @@ _LONG = f"""
     long AS (SELECT ref_type, ref_id, obs_type, count(*) AS n, CAST(max(ms) AS BIGINT) AS latest, sum(measure) AS total FROM d GROUP BY ALL)
 """
 
+# a text that as a whole is an object or array, as that
+_OPEN = lambda j: f"""CASE WHEN json_type({j}) = 'VARCHAR' AND regexp_matches(json_extract_string({j}, '$'), '^[ \\t\\r\\n]*[\\[{{]')
+    AND json_type(try_cast(json_extract_string({j}, '$') AS JSON)) IN ('OBJECT', 'ARRAY') THEN try_cast(json_extract_string({j}, '$') AS JSON) ELSE {j} END"""
+_ELEMENTS = f"""
+    WITH RECURSIVE e AS (SELECT arrival, try_cast(raw AS JSON) AS j FROM raw_events WHERE json_type(try_cast(raw AS JSON)) = 'OBJECT'),
+    t AS (SELECT arrival, f, json_extract(j, '$.' || f) AS v FROM e, (VALUES ('payload'), ('actors'), ('subjects')) AS t(f)),
+    s AS (SELECT arrival, f, {_OPEN("v")} AS v FROM t),
+    n AS (
+        SELECT arrival, CASE WHEN f <> 'payload' AND json_type(v) = 'OBJECT' THEN f || '[0]' ELSE f END AS path, '$' AS parent, f <> 'payload' AND json_type(v) = 'OBJECT' AS is_element, v AS j
+        FROM s WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+        UNION ALL
+        SELECT arrival, path || c.p, CASE WHEN is_element AND json_type(j) = 'OBJECT' THEN path ELSE parent END, json_type(j) = 'ARRAY', c.v
+        FROM (SELECT arrival, path, parent, is_element, j, u.c AS x FROM n, unnest(CASE WHEN json_type(j) = 'OBJECT'
+                  THEN list_transform(json_keys(j), lambda k: {{'p': '.' || k, 'v': json_extract(j, '$."' || k || '"')}})
+                  ELSE list_transform(range(json_array_length(j)::BIGINT), lambda i: {{'p': '[' || i || ']', 'v': json_extract(j, '$[' || i || ']')}}) END) AS u(c)) q,
+             LATERAL (SELECT {{'p': q.x.p, 'v': {_OPEN("q.x.v")}}} AS c) w
+        WHERE json_type(c.v) IN ('OBJECT', 'ARRAY')),
+    l AS (SELECT arrival, path AS child_path, parent AS parent_path, j FROM n WHERE is_element AND json_type(j) = 'OBJECT')
+"""
+_POSITION = "CAST(regexp_extract(child_path, '\\[(\\d+)\\]$', 1) AS INTEGER) AS position"
+_TEXT = lambda f: f"CASE WHEN json_type(j, '$.{f}') IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract_string(j, '$.{f}') END AS {f}"
+_NUMBER = lambda f: f"CASE WHEN json_type(j, '$.{f}') IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE') THEN try_cast(json_extract_string(j, '$.{f}') AS DOUBLE) END AS \"{f}\""
+_AT = lambda path, cells: _ELEMENTS + f"SELECT arrival, child_path, parent_path, {_POSITION}, {cells} FROM l WHERE regexp_replace(child_path, '\\[\\d+\\]', '[]', 'g') = '{path}'"
+_TYPE = "CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END"
+
 ORACLES = {
+    "p2_found": _ELEMENTS + "SELECT arrival, child_path, parent_path FROM l",
+    "p2_tables": _ELEMENTS + f""", f AS (SELECT regexp_replace(child_path, '\\[\\d+\\]', '[]', 'g') AS table_path, regexp_replace(parent_path, '\\[\\d+\\]', '[]', 'g') AS parent_table,
+                    k AS field_name, json_extract(j, '$."' || k || '"') AS v
+             FROM (SELECT *, unnest(CASE WHEN len(json_keys(j)) = 0 THEN [NULL] ELSE json_keys(j) END) AS k FROM l) q)
+        SELECT table_path, parent_table, field_name, CASE WHEN field_name IS NOT NULL THEN {_TYPE} END AS json_type, count(*) AS n FROM f GROUP BY ALL""",
+    "p2_actors": _AT("actors[]", _TEXT("type") + ", " + _TEXT("id")),
+    "p2_jobs": _AT("payload.stages[].jobs[]", _TEXT("runner") + ", " + _NUMBER("tookMs")),
+    "p2_steps": _AT("payload.stages[].jobs[].steps[]", _TEXT("cmd") + ", " + _NUMBER("code")),
     "p3_features_long": _LONG + "SELECT * FROM long",
     "p6_found": f"""
         WITH o AS (SELECT insert_seq, ingested_at, CAST({_MS} AS BIGINT) AS ms FROM observations),

@@ -6,7 +6,10 @@ must notice. The SQL works out from the columns what must come of it, without re
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
+from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from strandloom.operators.ordering import with_running_sums
 from strandloom.operators.payloads import AGENT_SPECS, EXAMPLE_SPECS, Check, PayloadSpec, Registry
 from strandloom.session import scratch, table, written
 from strandloom.sources import agent_events, readers
-from strandloom.sources.stores import AuditQuery, ObservationQuery, RefMatch, Stores, ref_bridge, select_audit, select_observations
+from strandloom.sources.stores import AuditQuery, ObservationQuery, ReadApi, RefMatch, Stores, ref_bridge, select_audit, select_observations
 
 START = 1_782_950_400_000
 _CHECKS = (Check("k", "integer"), Check("userId", "integer"), Check("tag", "string", True))
@@ -148,19 +151,41 @@ def resolver_mapping(spark, d):
 
 
 def resolver_table(spark, d):
-    """Refs resolved through a table instead of a literal: customers to their nations."""
-    people = table(spark, d, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("ref_id"), F.col("c_nationkey").cast("string").alias("nation"))
+    """Refs resolved through a table inside the intake: users that are customers become members of their nations."""
     _session(spark)
-    refs = ref_bridge(_batch(spark, d).accepted).where("role = 'actor'")
-    return refs.join(people, "ref_id", "left").groupBy(F.coalesce("nation", F.lit("?")).alias("nation")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer")
+    known = c.select(F.lit("user").alias("ref_type"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("ref_id"), F.lit("nation").alias("to_type"), F.col("c_nationkey").cast("string").alias("to_id"))
+    o = _batch(spark, d, "table", resolver_table=known).accepted
+    return ref_bridge(o).where("role = 'actor'").groupBy("ref_type", "ref_id").agg(F.count("*").alias("n"))
 
 
 # ---- timestamps and text ----
-_TIMES = [
-    "2026-07-01T09:30:00Z", "2026-07-01T09:30:00.123Z", "2026-07-01T09:30:00+10:00", "2026-06-30T19:00:00-05:00", "2024-02-29T00:00:00Z", "2000-02-29T00:00:00Z", "2026-07-01T09:30:00", "2026-07-01",
-    "2026-02-30T00:00:00Z", "2026-07-01T24:00:00Z", "2026-13-01T00:00:00Z", "2026-00-01T00:00:00Z", "2026-07-32T00:00:00Z", "2026-07-01T00:60:00Z", "2026-07-01T00:00:60Z", "2026-07-01T00:00:00+99:99",
-    "2026-02-29T00:00:00Z", "2100-02-29T00:00:00Z", "not-a-date", "2026-07-01t09:30:00z", "2026-07-01T09:30:00.9995Z", "2026-07-01T09:30:00+23:59", "2026-07-01T09:30:00Z\n",
-]
+def _time_cases():
+    """(text, strict ms, lenient ms): every field at its limit and beyond, by Python's own calendar."""
+    base = {"day": "2024-02-28", "t": "T", "time": "12:30:30", "fraction": "", "offset": "Z"}
+    days = ["2023-02-28", "2023-02-29", "2024-02-29", "2024-02-30", "1900-02-29", "2000-02-29", "2024-01-31", "2024-01-32", "2024-04-30", "2024-04-31", "2024-12-31", "2024-13-01", "2024-00-10", "2024-03-00", "9999-12-31", "1969-12-31"]
+    varied = {
+        "day": days, "t": ["t", " ", ""], "time": ["00:00:00", "23:59:59", "24:00:00", "23:60:00", "23:59:60", "7:05:00", "07:05"], "fraction": [".0", ".0004", ".0005", ".9995", ".123456789", "."],
+        "offset": ["z", "+00:00", "-00:00", "+23:59", "-23:59", "+24:00", "+10:60", "+0530", "", "Z\n"],
+    }
+    out = []
+    for field, values in varied.items():
+        for v in values:
+            c = base | {field: v}
+            text, strict, lenient = "".join(c.values()), None, None
+            sign, zone = (-1 if c["offset"].startswith("-") else 1), re.fullmatch(r"[+-](\d\d):(\d\d)", c["offset"])
+            try:
+                at = datetime.fromisoformat(f"{c['day']} {c['time']}")
+                plain = re.fullmatch(r"\d\d:\d\d:\d\d", c["time"]) and c["t"] in "Tt" and c["t"] and c["fraction"] != "."
+                offset = 0 if c["offset"] in ("Z", "z", "") else sign * (int(zone[1]) * 60 + int(zone[2])) if zone and int(zone[1]) < 24 and int(zone[2]) < 60 else None
+                if plain and offset is not None:
+                    ms = ((at - datetime(1970, 1, 1)).days * 86_400 + (at - datetime(1970, 1, 1)).seconds) * 1000 + int(Decimal("0" + (c["fraction"] or ".0")) * 1000 + Decimal("0.5")) - offset * 60_000
+                    strict, lenient = (None if c["offset"] == "" else ms), ms
+            except ValueError:
+                pass
+            if strict is not None or c["offset"] == "" or field in ("day", "fraction") or (field == "offset" and v in ("+24:00", "+10:60")):
+                out.append((text, strict, lenient))
+    return [*out, ("2024-02-28", None, 1709078400000), ("not-a-date", None, None), ("", None, None)]
 
 
 def parse_rfc3339(spark, d):
@@ -171,7 +196,7 @@ def parse_rfc3339(spark, d):
 
 
 def timestamp_cases(spark, d):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(_TIMES)], "n int, t string")
+    rows = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(_time_cases())], "n int, t string")
     return rows.select("n", parse_ms(F.col("t")).alias("strict_ms"), parse_ms(F.col("t"), "lenient").alias("lenient_ms"))
 
 
@@ -181,6 +206,50 @@ def stable_stringify(spark, d):
     return e.select("event_id", C.exact(F.to_json(F.try_parse_json(text))).alias("text"))
 
 
+_NUMBERS = {
+    "1541815603606036480": "1541815603606036500", "1152921504606846976": "1152921504606847000", "9007199254740993": "9007199254740992", "1e21": "1e+21", "1e20": "100000000000000000000", "5e-324": "5e-324", "1e-7": "1e-7",
+    "0.000001": "0.000001", "-0": "0", "-0.0": "0", "1.0": "1", "1.10": "1.1", "100.0": "100", "12345678.123456789": "12345678.123456789", '"1e5 \\\\u000B"': '"1e5 \\\\u000B"', '"\\u001f\\u0041\\n"': '"\\u001fA\\n"', '"é\\u2028/"': '"é\u2028/"',
+    "[1e400,-1e400]": "[null,null]", '{"b":1e400,"a":2}': '{"a":2}', '{"Infinity":"Infinity"}': '{"Infinity":"Infinity"}',
+}
+
+
+def stable_stringify_numbers(spark, d):
+    """Numbers and escapes whose canonical text differs from how they are written, as a json field of a payload."""
+    _session(spark)
+    raws = [
+        (i, '{"eventId":"e%d","envelopeVersion":"1.0","schemaVersion":"1.0","kind":"agent.action","occurredAt":"2026-07-01T09:30:00Z","payload":{"action":"a","detail":%s}}' % (i, t))
+        for i, t in enumerate(_NUMBERS)
+    ]
+    judged = verdicts(spark.createDataFrame(raws, "arrival bigint, raw string"), Options(specs=AGENT_SPECS, clock=Clock(START)))
+    return judged.select("arrival", F.col("attributes").alias("text"))
+
+
+def envelope_issues(spark, d):
+    """Several faults in one envelope are all listed, in the envelope's order."""
+    _session(spark)
+    n = F.col("event_id")
+    part = lambda every, good, bad="": F.when(n % every == 0, bad).otherwise(good)
+    raw = F.concat(
+        F.lit('{"kind":"user.click","envelopeVersion":"1.0"'), part(2, ',"eventId":"e"'), part(3, ',"schemaVersion":"1.0"', ',"schemaVersion":1'), part(5, ',"occurredAt":"2026-07-01T09:30:00Z"', ',"occurredAt":""'),
+        part(11, ',"payload":null'), part(7, "", ',"actors":"x"'), part(13, "", ',"subjects":[{"type":"t","id":"i"},{"type":"t","id":2,"attributes":[]},null]'), part(17, "", ',"source":{"system":5,"connector":"c"}'), F.lit("}"),
+    )
+    bad = verdicts(table(spark, d, "events").select(n.alias("arrival"), raw.alias("raw")), OPTIONS).where("reason = 'MALFORMED_ENVELOPE'")
+    return bad.select("arrival", F.posexplode("issues").alias("place", "i")).select("arrival", "place", F.col("i.path").alias("path"), F.col("i.message").alias("message"))
+
+
+def payload_issues(spark, d):
+    """Faults of a bundled schema's fields, in the order of its checks."""
+    _session(spark)
+    n = F.col("event_id")
+    raw = F.concat(
+        F.lit('{"eventId":"e","envelopeVersion":"1.0","schemaVersion":"1.0","kind":"deploy.finished","occurredAt":"2026-07-01T09:30:00Z","payload":{"status":'), F.when(n % 2 == 0, '"failed"').otherwise('"odd"'),
+        F.when(n % 3 == 0, "").when(n % 3 == 1, ',"service":null').otherwise(',"service":"s"'), F.when(n % 5 == 0, ',"environment":""').otherwise(',"environment":"e"'),
+        F.when(n % 7 == 0, ',"durationMs":1.5').when(n % 7 == 1, ',"durationMs":"1"').when(n % 7 == 2, ',"durationMs":1e2').otherwise(""), F.lit("}}"),
+    )
+    judged = verdicts(table(spark, d, "events").select(n.alias("arrival"), raw.alias("raw")), Options(specs=EXAMPLE_SPECS, clock=Clock(START)))
+    return judged.select("arrival", F.posexplode_outer("issues").alias("place", "i")).select("arrival", "place", F.col("i.path").alias("path"), F.col("i.message").alias("message"))
+
+
 # ---- audit ----
 def audit_trail(spark, d):
     _session(spark)
@@ -247,10 +316,11 @@ def audit_by_stage(spark, d):
 
 
 def audit_by_observation(spark, d):
+    """The trail of the first stored observation: what accepted it, and its redeliveries."""
     _session(spark)
-    one = C.observation_id(F.lit("evt-5"), F.lit("User"), F.lit("1.0"))  # no such type: an empty trail
-    trail = _batch(spark, d).trail
-    return trail.where(F.col("observation_id") == one).select("sequence", "stage")
+    b = _batch(spark, d)
+    one = b.accepted.orderBy("insert_seq").first()["id"]
+    return select_audit(b.trail, AuditQuery(observation_id=one)).select("sequence", "stage", "outcome")
 
 
 def audit_ndjson(spark, d):
@@ -303,6 +373,15 @@ def query_desc_limit(spark, d):
     return _query(spark, d, ObservationQuery(order="desc", limit=50))
 
 
+def query_tie_break(spark, d):
+    """Many observations at one time: the order of storing decides, reversed with the order."""
+    _session(spark)
+    tied = _batch(spark, d).accepted.withColumn("at", F.col("at") - F.pmod("at", F.lit(1_000_000_000)))
+    found = select_observations(tied, ObservationQuery(order="desc", limit=200)).select("id", "at", "insert_seq")
+    keys = F.struct((-F.col("at")).alias("a"), (-F.col("insert_seq")).alias("b"))
+    return with_running_sums(found.select("id", keys.alias("k")), "k", {"before": 1}).select((F.col("before") + 1).alias("place"), "id")
+
+
 def query_limit_zero(spark, d):
     return _query(spark, d, ObservationQuery(limit=0))
 
@@ -317,6 +396,31 @@ def observation_types(spark, d):
 
 
 # ---- durable stores ----
+def _stored(spark, d):
+    """The processed deliveries in a durable store, under two normalization versions."""
+    _session(spark)
+    s, b = Stores(spark, scratch(spark, "stored")), _batch(spark, d)
+    n = s.put(b.accepted.drop("arrival"))
+    s.append_audit(b.trail)
+    later, _ = renormalize(deliveries(spark, d), replace(OPTIONS, normalization_version="2.0"))
+    once = later.groupBy("id").agg(F.min_by(F.struct(*later.columns), "arrival").alias("o")).select("o.*")
+    s.put(with_running_sums(once, "arrival", {"place": 1}).select(*[c for c in once.columns if c != "arrival"], (F.col("place") + n).alias("insert_seq")))
+    return s
+
+
+def coexisting_versions(spark, d):
+    return _stored(spark, d).query().groupBy(F.col("versions.normalization").alias("version")).agg(F.count("*").alias("n"), F.max("insert_seq").alias("last"))
+
+
+def get_and_has_observation(spark, d):
+    """Lookups of a stored id and of one that is not, and the last audit record, through the read side."""
+    s = _stored(spark, d)
+    read = ReadApi(s, [])
+    one = _batch(spark, d).accepted.orderBy("insert_seq").first()["id"]
+    found = read.get_observation(one).select("id", F.col("at").alias("at_ms"))
+    return found.select("*", F.lit(read.has_observation(one)).alias("has"), F.lit(read.has_observation("obs_none")).alias("has_other")).crossJoin(s.audit_tail().select(F.col("sequence").alias("tail")))
+
+
 def stored_twice(spark, d):
     """The same deliveries taken in twice: the second time every valid one is a duplicate, and one chain spans both."""
     _session(spark)
@@ -335,7 +439,7 @@ def duplicate_results(spark, d):
     _session(spark)
     engine = intake.Intake(spark, replace(OPTIONS, clock=Clock(START, 1)))
     results = engine.ingest(deliveries(spark, d))
-    return engine.observations_of(results).where("status = 'duplicate'").select("arrival", "id", "source_event_id")
+    return engine.observations_of(results).where("status = 'duplicate'").select("arrival", "id", "source_event_id", "ingested_at")
 
 
 def _archived(spark, d):
@@ -345,7 +449,7 @@ def _archived(spark, d):
 
 
 def archive_replay(spark, d):
-    return _archived(spark, d).replay().select("sequence", "received_at", F.length("event").cast("bigint").alias("chars"))
+    return _archived(spark, d).replay().select("sequence", "received_at", F.get_json_object("event", "$.eventId").alias("event_id"))
 
 
 def archive_replay_from_limit(spark, d):
@@ -415,6 +519,17 @@ def ndjson_source(spark, d):
     return readers.read_events(spark, path).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("texts"))
 
 
+def array_source(spark, d):
+    """Raw texts written as one JSON array and read back; the place in the array is the arrival."""
+    _session(spark)
+    path = scratch(spark, "array")
+    raws = deliveries(spark, d).where("arrival < 10000").orderBy("arrival").agg(F.collect_list(F.struct("arrival", "raw")).alias("r"))
+    texts = F.transform(F.array_sort("r"), lambda x: x["raw"])
+    raws.select(F.concat(F.lit(" \t["), F.array_join(texts, ",\n"), F.lit("]")).alias("value")).write.text(path)
+    back = readers.read_events(spark, path)
+    return back.select("arrival", F.get_json_object("raw", "$.eventId").alias("event_id"))
+
+
 _LOCAL_NAMES = ("deliveries", "forget")
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and k[0] != "_" and k not in _LOCAL_NAMES}
 
@@ -454,6 +569,23 @@ _TRAIL = (
           FROM i JOIN p USING (status))
 """
 )
+_READS = """, c AS (SELECT *, coalesce(sum(CASE status WHEN 'accepted' THEN 6 WHEN 'duplicate' THEN 3 ELSE 2 END) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reads FROM r)
+"""
+_MS_OR_NULL = lambda v: "NULL" if v is None else str(v)
+_NOT_TEXT = "must be a non-empty string"
+_ENVELOPE = [
+    ("eventId", _NOT_TEXT, "event_id % 2 = 0"), ("schemaVersion", _NOT_TEXT, "event_id % 3 = 0"), ("occurredAt", _NOT_TEXT, "event_id % 5 = 0"), ("payload", "is required", "event_id % 11 = 0"),
+    ("actors", "must be an array when present", "event_id % 7 = 0"), ("subjects[1].id", _NOT_TEXT, "event_id % 13 = 0"), ("subjects[1].attributes", "must be an object", "event_id % 13 = 0"),
+    ("subjects[2]", "must be an object", "event_id % 13 = 0"), ("source.system", "must be a string when present", "event_id % 17 = 0"),
+]
+_PAYLOAD = [
+    ("payload.service", "is required", "event_id % 3 = 0"), ("payload.service", _NOT_TEXT, "event_id % 3 = 1"), ("payload.environment", _NOT_TEXT, "event_id % 5 = 0"),
+    ("payload.status", "must be one of: succeeded, failed", "event_id % 2 = 1"), ("payload.durationMs", "must be an integer", "event_id % 7 = 0"), ("payload.durationMs", "must be a finite number", "event_id % 7 = 1"),
+]
+_ISSUES = lambda rules, join: f"""WITH k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{p}', '{m}')" for i, (p, m, _) in enumerate(rules))}) AS k(o, path, message)),
+    x AS (SELECT event_id, k.* FROM events, k WHERE CASE o {" ".join(f"WHEN {i} THEN {c}" for i, (_, _, c) in enumerate(rules))} END),
+    y AS (SELECT event_id, path, message, row_number() OVER (PARTITION BY event_id ORDER BY o) - 1 AS place FROM x)
+    SELECT e.event_id AS arrival, CAST(place AS INTEGER) AS place, path, message FROM events e {join} JOIN y USING (event_id)"""
 _FIND = lambda where, order="ms, seq", limit="": _BASE + f"SELECT row_number() OVER (ORDER BY {order}) AS place, oid AS id, ms AS at_ms FROM a WHERE {where} ORDER BY {order} {limit}"
 _CHAIN = lambda ok, length, at, why: f"SELECT {ok} AS ok, {length} AS length, CAST({at} AS BIGINT) AS broken_at, CAST({why} AS VARCHAR) AS reason FROM t LIMIT 1"
 
@@ -468,10 +600,19 @@ ORACLES = {
     "observation_integrity": _BASE + f"SELECT oid AS id, sha256({_TEXT}) AS integrity FROM a",
     "integrity_keyed": _BASE + "SELECT count(*) AS n, count(*) AS good, CAST(0 AS BIGINT) AS good_other, CAST(0 AS BIGINT) AS good_plain FROM a",
     "verify_tampered": _BASE + "SELECT oid AS id, seq % 10 <> 3 AS ok FROM a",
-    "stepped_clock": _BASE + ", c AS (SELECT *, coalesce(sum(CASE status WHEN 'accepted' THEN 6 WHEN 'duplicate' THEN 3 ELSE 2 END) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reads FROM r) SELECT oid AS id, CAST(1782950400000 + 3 * reads AS BIGINT) AS ingested_at FROM c WHERE status = 'accepted'",
+    "stepped_clock": _BASE + _READS + "SELECT oid AS id, CAST(1782950400000 + 3 * reads AS BIGINT) AS ingested_at FROM c WHERE status = 'accepted'",
     "refs_bridge": _BASE + "SELECT oid AS observation_id, 'actor' AS role, 'user' AS ref_type, 'u' || user_id AS ref_id FROM a UNION ALL SELECT oid, 'subject', 'event_type', event_type FROM a",
     "resolver_mapping": _BASE + ", b AS (SELECT 'actor' AS role, CASE WHEN user_id = 7 THEN 'person' ELSE 'user' END AS ref_type, CASE WHEN user_id = 7 THEN 'seven' ELSE 'u' || user_id END AS ref_id FROM a UNION ALL SELECT 'subject', CASE WHEN event_type = 'click' THEN 'gesture' ELSE 'event_type' END, CASE WHEN event_type = 'click' THEN 'press' ELSE event_type END FROM a) SELECT role, ref_type, count(*) AS n, count(DISTINCT ref_id) AS ids FROM b GROUP BY ALL",
-    "resolver_table": _BASE + "SELECT coalesce(CAST(c_nationkey AS VARCHAR), '?') AS nation, count(*) AS n FROM a LEFT JOIN customer ON c_custkey = user_id GROUP BY 1",
+    "resolver_table": _BASE + "SELECT CASE WHEN c_nationkey IS NULL THEN 'user' ELSE 'nation' END AS ref_type, coalesce(CAST(c_nationkey AS VARCHAR), 'u' || user_id) AS ref_id, count(*) AS n FROM a LEFT JOIN customer ON c_custkey = user_id GROUP BY ALL",
+    "timestamp_cases": "SELECT CAST(n AS INTEGER) AS n, CAST(s AS BIGINT) AS strict_ms, CAST(l AS BIGINT) AS lenient_ms FROM (VALUES " + ", ".join(f"({i}, {_MS_OR_NULL(s)}, {_MS_OR_NULL(x)})" for i, (_, s, x) in enumerate(_time_cases())) + ") AS t(n, s, l)",
+    "stable_stringify_numbers": "SELECT CAST(n AS BIGINT) AS arrival, '{\"action\":\"a\",\"detail\":' || t || '}' AS text FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_NUMBERS.values())) + ") AS t(n, t)",
+    "envelope_issues": _ISSUES(_ENVELOPE, ""),
+    "payload_issues": _ISSUES(_PAYLOAD, "LEFT"),
+    "query_tie_break": _BASE + "SELECT row_number() OVER (ORDER BY ms - ms % 1000000000 DESC, seq DESC) AS place, oid AS id FROM a ORDER BY ms - ms % 1000000000 DESC, seq DESC LIMIT 200",
+    "coexisting_versions": _BASE + ", s AS (SELECT count(*) AS n FROM a) SELECT v AS version, n, CAST(n * k - 1 AS BIGINT) AS last FROM s, (VALUES ('1.0', 1), ('2.0', 2)) AS v(v, k)",
+    "get_and_has_observation": _TRAIL + "SELECT oid AS id, ms AS at_ms, true AS has, false AS has_other, (SELECT max(sequence) FROM t) AS tail FROM a WHERE seq = 0",
+    "archive_replay": _BASE + "SELECT row_number() OVER (ORDER BY arrival) - 1 AS sequence, 1782950400000 AS received_at, coalesce(eid, '') AS event_id FROM r",
+    "array_source": _BASE + "SELECT row_number() OVER (ORDER BY arrival) - 1 AS arrival, coalesce(eid, '') AS event_id FROM r WHERE arrival < 10000",
     "parse_rfc3339": "SELECT event_id, CAST(floor(epoch_us(ts) / 1000.0 + 0.5) AS BIGINT) AS ms0, epoch_us(ts) // 1000000 * 1000 AS ms1, CAST(NULL AS BIGINT) AS ms2 FROM events",
     "stable_stringify": "SELECT event_id, '{\"a\":{\"c\":' || event_id || ',\"d\":\"' || event_type || '\"},\"b\":[\"x\",null,true],\"z\":' || json_extract_string(props, '$.k') || '}' AS text FROM events",
     "audit_trail": _TRAIL + "SELECT * FROM t",
@@ -488,7 +629,7 @@ ORACLES = {
     "audit_keyed": _TRAIL + "SELECT true AS ok, count(*) AS length, CAST(NULL AS BIGINT) AS broken_at, CAST(NULL AS VARCHAR) AS reason, 'right' AS key FROM t UNION ALL SELECT false, NULL, CAST(0 AS BIGINT), 'bad_hash', 'none'",
     "event_audit": _TRAIL + "SELECT sequence, stage, outcome FROM t WHERE event_id = 'evt-5'",
     "audit_by_stage": _TRAIL + "SELECT sequence, outcome, event_id FROM t WHERE stage = 'dedupe' ORDER BY sequence LIMIT 25",
-    "audit_by_observation": _TRAIL + "SELECT sequence, stage FROM t WHERE false",
+    "audit_by_observation": _TRAIL + "SELECT sequence, stage, outcome FROM t WHERE observation_id = (SELECT oid FROM a WHERE seq = 0)",
     "audit_ndjson": _TRAIL + """SELECT sequence, '{"id":"rec-' || sequence || '","stage":"' || stage || '","outcome":"' || outcome || '","eventId":"' || event_id || '","at":1782950400000,"sequence":' || sequence
         || CASE WHEN observation_id IS NOT NULL THEN ',"observationId":"' || observation_id || '"' ELSE '' END || CASE WHEN detail IS NOT NULL THEN ',"detail":' || detail ELSE '' END || '}' AS line FROM t""",
     "query_all": _FIND("true"),
@@ -504,7 +645,7 @@ ORACLES = {
     "count_observations": _BASE + "SELECT count(*) AS n FROM a",
     "observation_types": "SELECT unnest(['UserClick', 'UserPurchase', 'UserSignup', 'UserView']) AS type",
     "stored_twice": _BASE + "SELECT count(*) FILTER (status <> 'rejected') AS duplicates, CAST(0 AS BIGINT) AS accepted, true AS ok, CAST(sum(CASE status WHEN 'accepted' THEN 5 ELSE 2 END) + 2 * count(*) AS BIGINT) AS records, count(*) FILTER (status = 'accepted') AS stored, CAST(0 AS BIGINT) AS repeated FROM r",
-    "duplicate_results": _BASE + "SELECT arrival, oid AS id, eid AS source_event_id FROM r WHERE status = 'duplicate'",
+    "duplicate_results": _BASE + _READS + "SELECT d.arrival, d.oid AS id, d.eid AS source_event_id, CAST(1782950400000 + o.reads AS BIGINT) AS ingested_at FROM c d JOIN c o ON o.oid = d.oid AND o.status = 'accepted' WHERE d.status = 'duplicate'",
     "archive_replay_from_limit": "SELECT unnest(range(100, 120)) AS sequence",
     "archive_prune": _BASE + "SELECT count(*) - 150 AS left, CAST(150 AS BIGINT) AS first, CAST(150 AS BIGINT) AS gone FROM r",
     "renormalize_v2": _BASE + "SELECT arrival, 'obs_' || sha256('[\"' || eid || '\",\"' || otype || '\",\"2.0\"]') AS id FROM r WHERE reason IS NULL",

@@ -29,6 +29,23 @@ def test_elements(spark):
     assert nested.elements(rows(spark).limit(0)).count() == 0
 
 
+def test_flat_tables(spark):
+    """Each table has a row an element, its parent's path, its position, typed columns, and what does not fit in rescued."""
+    events = rows(spark)
+    found = {(r["table_path"], r["parent_table"], r["field_name"], r["json_type"], r["n"]) for r in nested.catalogue(events).collect()}
+    assert ("payload.x[].y[]", "payload.x[]", "z", "number", 2) in found and ("payload.s[]", "$", "q", "string", 1) in found and ("actors[]", "$", "id", "string", 1) in found
+    assert ("payload.s[].q[]", "payload.s[]", None, None, 1) in found  # an object without fields
+    tables = nested.flat_tables(events)
+    assert sorted(tables) == sorted({t for t, *_ in found})
+    got = {t: [tuple(r) for r in df.orderBy("arrival", "child_path").collect()] for t, df in tables.items()}
+    assert got["payload.x[].y[]"] == [(1, "payload.x[0].y[0]", "payload.x[0]", 0, 1.0, None), (1, "payload.x[0].y[2]", "payload.x[0]", 2, 2.0, None)]
+    assert got["actors[]"] == [(1, "actors[0]", "$", 0, "one", None)] and got["payload.xs[]"] == [(3, "payload.xs[0]", "$", 0, "now text", None)]
+    assert got["payload.x[][]"] == [(1, "payload.x[2][0]", "$", 0, 1.0, None)] and got["payload.s[].q[]"] == [(1, "payload.s[0].q[0]", "payload.s[0]", 0, None)]
+    odd = nested.flat_table(events, "payload.x[].y[]", {"z": "boolean", "position": "string"}).orderBy("child_path").collect()
+    assert [(r["z"], r["position"], r["position_"], r["rescued"]) for r in odd] == [(None, 0, None, '{"z":1}'), (None, 2, None, '{"z":2}')]
+    assert nested.flat_table(events, "payload.no[].such[]", {"a": "string"}).count() == 0
+
+
 def test_deeper_than_one_pass(spark):
     deep: object = {"end": 1}
     for _ in range(9):
