@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,19 +43,27 @@ def decided(judged: DataFrame, known: Known | None = None) -> DataFrame:
     )
 
 
-@dataclass
 class Batch:
     """What one batch came to. results: a row a delivery; duplicates point to the delivery or stored row they repeat.
 
-    accepted and trail are made when they are stored. reads, records: how often the batch read the clock, and its audit records.
+    accepted and trail are made when they are first asked for. reads, records: how often the batch read the clock, and its
+    audit records.
     """
 
-    results: DataFrame
-    accepted: DataFrame
-    trail: DataFrame
-    clock: Clock
-    reads: int
-    records: int
+    def __init__(self, results: DataFrame, clock: Clock, reads: int, records: int, accepted: Callable[[], DataFrame], trail: Callable[[], DataFrame]):
+        self.results, self.clock, self.reads, self.records, self._accepted, self._trail = results, clock, reads, records, accepted, trail
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        return self._accepted()
+
+    @cached_property
+    def trail(self) -> DataFrame:
+        return self._trail()
+
+    def kept(self) -> Batch:
+        """The same with accepted and trail written to the shared folder, for more than one reader."""
+        return Batch(self.results, self.clock, self.reads, self.records, lambda: written(self.accepted, "accepted"), lambda: written(self.trail, "trail"))
 
 
 def process(
@@ -77,11 +85,16 @@ def process(
     counts = {r["status"]: r["n"] for r in results.groupBy("status").agg(F.count("*").alias("n")).collect()}
     records = sum(audit.RECORDS[s] * n for s, n in counts.items())
     reads = records + sum(counts.get(s, 0) for s in ("accepted", "duplicate")) + archived * sum(counts.values())
-    at = F.lit(clock.start).cast("bigint") + (F.col("reads_before") + int(archived)) * clock.step
-    kept = observations(results.where(F.col("status") == "accepted"), at, options.integrity_secret, ("arrival", "place"))
-    accepted = kept.select("arrival", *OBSERVATION, (F.col("place") + first_insert).alias("insert_seq"))
-    trail = audit.chained(audit.sequenced(results, clock, first_sequence, archived), previous, options.audit_secret, first_sequence, records)
-    return Batch(results, accepted, trail, clock, reads, records)
+
+    def accepted() -> DataFrame:
+        at = F.lit(clock.start).cast("bigint") + (F.col("reads_before") + int(archived)) * clock.step
+        kept = observations(results.where(F.col("status") == "accepted"), at, options.integrity_secret, ("arrival", "place"))
+        return kept.select("arrival", *OBSERVATION, (F.col("place") + first_insert).alias("insert_seq"))
+
+    def trail() -> DataFrame:
+        return audit.chained(audit.sequenced(results, clock, first_sequence, archived), previous, options.audit_secret, first_sequence, records)
+
+    return Batch(results, clock, reads, records, accepted, trail)
 
 
 class Intake:
