@@ -17,11 +17,16 @@ VOCABULARIES = "/opt/tokenizers"
 #: Vocabularies are broadcast; a file beyond this size is refused.
 MAX_VOCABULARY = 32_000_000
 
+#: Rank files whose texts are split by the rules of :mod:`strandloom.llm.bpe`; ranks of other rules would give wrong ids.
+SAME_RULES = ("byte_bpe_50k", "byte_bpe_multi_50k")
+
 _MERGERS: dict[int, bpe.Merger] = {}
 
 
 def vocabulary(spark: SparkSession, name: str = "byte_bpe_50k", folder: str = VOCABULARIES):
-    """A broadcast of the rank file ``name``.tiktoken."""
+    """A broadcast of the rank file ``name``.tiktoken, which must be one of SAME_RULES."""
+    if name not in SAME_RULES:
+        raise ValueError(f"{name} is not known to split texts by the rules used here")
     data = Path(folder, f"{name}.tiktoken").read_bytes()
     if len(data) > MAX_VOCABULARY:
         raise ValueError(f"vocabulary {name} has {len(data)} bytes")

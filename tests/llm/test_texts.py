@@ -54,6 +54,17 @@ def test_encoded_documents(spark):
     back = {r["doc_id"]: r["text"] for r in encoding.decoded(encoding.encoded(df)).collect()}
     assert all(back[i] == t for i, t in enumerate(TEXTS))
     assert encoding.encoded(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        encoding.encoded(df, name="word_bpe_49k")
+
+
+def test_offsets_bound_the_pieces(merger):
+    """The ids from one offset to the next are those of the slice of text between: a decoder can start at any of them."""
+    text = "It's 12 o'clock -- l'été d'où 日本語 🙂🙂\n\n  end "
+    ids, _, offsets = bpe.encode([text], merger)
+    starts = sorted(set(offsets.tolist()))
+    for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
+        assert merger[text[a:b]] == tuple(ids[offsets == a].tolist())
 
 
 def test_water_fill():
