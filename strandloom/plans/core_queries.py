@@ -122,6 +122,9 @@ ORACLES = {
     "p2_jobs": _AT("payload.stages[].jobs[]", _TEXT("runner") + ", " + _NUMBER("tookMs")),
     "p2_steps": _AT("payload.stages[].jobs[].steps[]", _TEXT("cmd") + ", " + _NUMBER("code")),
     "p3_features_long": _LONG + "SELECT * FROM long",
+    "p3_features": _LONG + """, who AS (SELECT DISTINCT ref_type, ref_id FROM long), kinds AS (SELECT DISTINCT obs_type FROM kind_registry WHERE obs_type IS NOT NULL),
+        grid AS (SELECT ref_type, ref_id, obs_type, coalesce(n, 0) AS n, latest, total FROM who CROSS JOIN kinds LEFT JOIN long USING (ref_type, ref_id, obs_type))
+        SELECT * FROM (PIVOT grid ON obs_type USING max(n) AS "count", max(latest) AS latest, max(total) AS total GROUP BY ref_type, ref_id)""",
     "p6_found": f"""
         WITH o AS (SELECT insert_seq, ingested_at, CAST({_MS} AS BIGINT) AS ms FROM observations),
         e AS (SELECT insert_seq, ingested_at, (ms // 3600000 + 1) * 3600000 AS over FROM o WHERE ms IS NOT NULL)

@@ -260,6 +260,13 @@ def audit_stage_counts(spark, d):
     return _batch(spark, d).trail.groupBy("stage", "outcome").agg(F.count("*").alias("n"))
 
 
+def audit_skipped(spark, d):
+    """Events of unknown kind that are skipped leave one record each, and the sequence goes on over them."""
+    _session(spark)
+    trail = _batch(spark, d, "skip", unknown_kind="skip").trail
+    return trail.where("outcome = 'skipped'").select("sequence", "stage", "event_id", "detail")
+
+
 def audit_chain_head(spark, d):
     _session(spark)
     return audit.tail(_batch(spark, d).trail).select("sequence", "hash")
@@ -458,7 +465,7 @@ def archive_replay_from_limit(spark, d):
 def archive_prune(spark, d):
     s = _archived(spark, d)
     gone = s.prune_before(150)
-    return s.replay().agg(F.count("*").alias("left"), F.min("sequence").alias("first")).withColumn("gone", F.lit(gone).cast("bigint"))
+    return s.replay().agg(F.count("*").alias("left"), F.min("sequence").alias("first")).withColumns({"gone": F.lit(gone).cast("bigint"), "counted": F.lit(s.count_archive()).cast("bigint")})
 
 
 def renormalize_v2(spark, d):
@@ -615,6 +622,9 @@ ORACLES = {
     "parse_rfc3339": "SELECT event_id, CAST(floor(epoch_us(ts) / 1000.0 + 0.5) AS BIGINT) AS ms0, epoch_us(ts) // 1000000 * 1000 AS ms1, CAST(NULL AS BIGINT) AS ms2 FROM events",
     "stable_stringify": "SELECT event_id, '{\"a\":{\"c\":' || event_id || ',\"d\":\"' || event_type || '\"},\"b\":[\"x\",null,true],\"z\":' || json_extract_string(props, '$.k') || '}' AS text FROM events",
     "audit_trail": _TRAIL + "SELECT * FROM t",
+    "audit_skipped": _BASE + f""", m AS (SELECT *, {_MESSAGE} AS message, CASE WHEN reason = 'UNKNOWN_KIND' THEN 'skipped' ELSE status END AS st FROM r),
+        q AS (SELECT *, coalesce(sum(CASE st WHEN 'accepted' THEN 5 WHEN 'skipped' THEN 1 ELSE 2 END) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
+        SELECT CAST(before AS BIGINT) AS sequence, 'validation' AS stage, coalesce(eid, '<unknown>') AS event_id, '{{"message":"' || replace(message, '"', '\\"') || '","reason":"UNKNOWN_KIND"}}' AS detail FROM q WHERE st = 'skipped'""",
     "audit_stage_counts": _TRAIL + "SELECT stage, outcome, count(*) AS n FROM t GROUP BY ALL",
     "audit_chain_head": _TRAIL + """, c AS (SELECT sequence, '{"at":1782950400000,' || CASE WHEN detail IS NOT NULL THEN '"detail":' || detail || ',' ELSE '' END || '"eventId":"' || event_id || '","id":"rec-' || sequence || '",'
           || CASE WHEN observation_id IS NOT NULL THEN '"observationId":"' || observation_id || '",' ELSE '' END || '"outcome":"' || outcome || '","previousHash":"' AS head,
@@ -646,7 +656,7 @@ ORACLES = {
     "stored_twice": _BASE + "SELECT count(*) FILTER (status <> 'rejected') AS duplicates, CAST(0 AS BIGINT) AS accepted, true AS ok, CAST(sum(CASE status WHEN 'accepted' THEN 5 ELSE 2 END) + 2 * count(*) AS BIGINT) AS records, count(*) FILTER (status = 'accepted') AS stored, CAST(0 AS BIGINT) AS repeated FROM r",
     "duplicate_results": _BASE + _READS + "SELECT d.arrival, d.oid AS id, d.eid AS source_event_id, CAST(1782950400000 + o.reads AS BIGINT) AS ingested_at FROM c d JOIN c o ON o.oid = d.oid AND o.status = 'accepted' WHERE d.status = 'duplicate'",
     "archive_replay_from_limit": "SELECT unnest(range(100, 120)) AS sequence",
-    "archive_prune": _BASE + "SELECT count(*) - 150 AS left, CAST(150 AS BIGINT) AS first, CAST(150 AS BIGINT) AS gone FROM r",
+    "archive_prune": _BASE + "SELECT count(*) - 150 AS left, CAST(150 AS BIGINT) AS first, CAST(150 AS BIGINT) AS gone, count(*) - 150 AS counted FROM r",
     "renormalize_v2": _BASE + "SELECT arrival, 'obs_' || sha256('[\"' || eid || '\",\"' || otype || '\",\"2.0\"]') AS id FROM r WHERE reason IS NULL",
     "renormalize_rejections": _BASE + "SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL",
     "to_evidence": _BASE + "SELECT 'observation:' || otype AS kind, event_type AS subject_id, 'u' || user_id AS actor_id, attributes AS content, 'events' AS source, iso || 'Z' AS at_text, oid AS id FROM a",
