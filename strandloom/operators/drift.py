@@ -130,7 +130,8 @@ def changes(raw_events: DataFrame) -> DataFrame:
 
 def compared(fields: DataFrame, files: DataFrame) -> DataFrame:
     """:func:`changes` from the two results of :func:`file_fields`."""
-    known = fields.join(files, "batch_id")
+    # both sides grow with the data: never sent to all tasks
+    known = fields.join(files.hint("merge"), "batch_id")
     sides = known.where("has_before").select(F.col("batch_id").alias("file"), "field_path", "type", F.lit(1).alias("now"))
     sides = sides.unionByName(
         known.where(F.col("next_id").isNotNull()).select(F.col("next_id").alias("file"), "field_path", "type", F.lit(0).alias("now"))
@@ -143,14 +144,14 @@ def compared(fields: DataFrame, files: DataFrame) -> DataFrame:
         F.when(F.col("now") == 0, "removed").when(F.col("old") == 1, "added").when(F.col("new_type") != F.col("old_type"), "type_changed")
     )
     listed = both.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    # the fields of one file are few: their paths are compared with each other inside one row
-    entry = F.struct("field_path", "kind", F.coalesce("old_type", F.lit("")).alias("old_type"), F.coalesce("new_type", F.lit("")).alias("new_type"))
-    per_file = listed.groupBy("file").agg(F.collect_list(entry).alias("c"))
-    above = lambda x, y: x["field_path"].startswith(F.concat(y["field_path"], F.lit("."))) | x["field_path"].startswith(
-        F.concat(y["field_path"], F.lit("["))
+    listed = written(
+        listed.select("file", "field_path", "kind", F.coalesce("old_type", F.lit("")).alias("old_type"), F.coalesce("new_type", F.lit("")).alias("new_type")), "listed"
     )
-    topmost = F.filter("c", lambda x: ~F.exists("c", lambda y: above(x, y)))
-    flat = per_file.select("file", F.inline(topmost))
+    # a path is below another that ends where one of its keys or brackets begins; these are looked up, however many a file has
+    ends = F.filter(F.sequence(F.lit(1), F.length("field_path")), lambda i: F.substr("field_path", i, F.lit(1)).isin(".", "["))
+    above = listed.select("file", "field_path", F.explode(F.transform(ends, lambda i: F.substr("field_path", F.lit(1), i - 1))).alias("above"))
+    covered = above.join(listed.select("file", F.col("field_path").alias("above")).hint("merge"), ["file", "above"], "left_semi").select("file", "field_path").distinct()
+    flat = listed.join(covered.hint("merge"), ["file", "field_path"], "left_anti")
     parent = F.when(F.instr("field_path", ".") > 0, F.regexp_replace("field_path", r"\.[^.]*\z", "")).otherwise("")
     flat = flat.withColumn("parent", parent).withColumn("type", F.when(F.col("kind") == "removed", F.col("old_type")).otherwise(F.col("new_type")))
     moved = flat.where(F.col("kind") != "type_changed")
